@@ -40,7 +40,7 @@ def grams(w: Column, k: int) -> Column:
 
 
 def winnowed(h: Column, window: int) -> Column:
-    """The distinct hashes that are smallest in some ``window`` consecutive ones."""
+    """The distinct hashes that are smallest in some ``window`` consecutive ones; ``h`` must be a stored column, as every window reads it."""
     starts = F.when(F.size(h) >= window, F.sequence(F.lit(1), F.size(h) - window + 1)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(h, i, window))))
 
@@ -53,7 +53,6 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     """
     if not 1 <= k <= span:
         raise ValueError("k must be between 1 and span")
-    spark = docs.sparkSession
     d = docs.select(F.col(key).alias("key"), F.col(text_column).alias("text"))
     item_words = staged(items.select(F.col(item_key).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0), "bench-words")
     long_items, short_items = item_words.where(F.size("w") >= span), item_words.where(F.size("w") < span)
@@ -73,17 +72,17 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     bench = staged(marks_all.distinct(), "bench-marks")
     n_marks = bench.count()
     w = words(F.col("text"))
-    base = d.select("key", w.alias("w"))
-    kept = F.transform(winnowed(grams(F.col("w"), k), window), lambda h: F.struct(F.lit(k).alias("gram"), h.alias("h")))
+    base = d.select("key", w.alias("w")).withColumn("g", grams(F.col("w"), k))
+    kept = F.transform(winnowed(F.col("g"), window), lambda h: F.struct(F.lit(k).alias("gram"), h.alias("h")))
     for n in lengths:
         kept = F.concat(kept, F.transform(F.array_distinct(grams(F.col("w"), n)), lambda h, n=n: F.struct(F.lit(n).alias("gram"), h.alias("h"))))
-    prints = base.select("key", F.explode(kept).alias("g")).select("key", "g.gram", "g.h")
+    prints = base.select("key", F.explode(kept).alias("p")).select("key", "p.gram", "p.h")
     shared = prints.join(broadcast_if_small(bench, n_marks, 16), ["gram", "h"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("gram", "h")).alias("shared"))
     shared = staged(shared, "bench-shared")
 
     # 2. Extend: windows that start up to ``span - k`` words before a shared hash, checked by their words.
-    n_shared = shared.count()
-    again = d.join(broadcast_if_small(shared, n_shared, 2048), "key").select("key", words(F.col("text")).alias("w"), "shared")
+    n_shared = shared.agg(F.coalesce(F.sum(F.size("shared") + 4), F.lit(0))).first()[0]
+    again = d.join(broadcast_if_small(shared, n_shared, 24), "key").select("key", words(F.col("text")).alias("w"), "shared")
     spread = again.select("key", "w", F.transform(F.filter("shared", lambda s: s["gram"] == k), lambda s: s["h"]).alias("long"), "shared")
     hashes = spread.select("key", "w", "shared", "long", grams(F.col("w"), k).alias("g"))
     near = F.flatten(F.transform(F.filter(F.transform("g", lambda h, i: F.when(F.array_contains("long", h), i)), lambda i: i.isNotNull()), lambda i: F.sequence(F.greatest(i - (span - k), F.lit(0)), i)))
@@ -95,7 +94,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
         places = F.concat(places, F.transform(here, lambda i, n=n: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("w", i + 1, n), " ").alias("window"))))
     tried = hashes.select("key", F.explode(places).alias("p")).select("key", "p.at", "p.size", "p.window")
     known = windows.select("window", "size").distinct()
-    return tried.join(broadcast_if_small(known, windows.count(), 256), ["window", "size"], "left_semi"), windows
+    n_bytes = windows.agg(F.coalesce(F.sum(F.octet_length("window") + 32), F.lit(0))).first()[0]
+    return tried.join(broadcast_if_small(known, n_bytes, 1), ["window", "size"], "left_semi"), windows
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_key: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5) -> DataFrame:
@@ -104,9 +104,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id
     Documents with the same id are told apart by their text; equal rows share one result.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    key = F.struct(F.col(id_column).alias("id"), F.xxhash64(text).alias("t"))
     slim = docs.select(F.col(id_column).alias("_id"), text.alias("text"), F.concat_ws(":", F.col(id_column).cast("string"), F.xxhash64(text).cast("string")).alias("key"))
-    del key
     hits, windows = find_overlaps(slim, items, key="key", text_column="text", item_key=item_key, item_text=item_text, span=span, k=k)
     hits = staged(hits.distinct(), "bench-hits")
     covered = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("at"))

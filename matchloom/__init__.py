@@ -1,0 +1 @@
+"""PySpark-native entity resolution: block, compare, score, match, measure."""

@@ -45,6 +45,23 @@ def winnowed(h: Column, window: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(h, i, window))))
 
 
+def marked(hashes: Column, gram: int) -> Column:
+    return F.transform(hashes, lambda h: F.struct(F.lit(gram).alias("gram"), h.alias("h")))
+
+
+def hashes_of(marks: str, gram: int) -> Column:
+    return F.transform(F.filter(marks, lambda s: s["gram"] == gram), lambda s: s["h"])
+
+
+def spots(hashes: Column, wanted: Column) -> Column:
+    """Places of ``hashes`` (a stored column) that are in ``wanted``."""
+    return F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(wanted, h), i)), lambda i: i.isNotNull())
+
+
+def placed(starts: Column, size: int) -> Column:
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.array_join(F.slice("w", i + 1, size), " ").alias("window")))
+
+
 def find_overlaps(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text_column: str = "text", item_key: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """Where documents hold benchmark windows.
 
@@ -73,9 +90,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     n_marks = bench.count()
     w = words(F.col("text"))
     base = d.select("key", w.alias("w")).withColumn("g", grams(F.col("w"), k))
-    kept = F.transform(winnowed(F.col("g"), window), lambda h: F.struct(F.lit(k).alias("gram"), h.alias("h")))
+    kept = marked(winnowed(F.col("g"), window), k)
     for n in lengths:
-        kept = F.concat(kept, F.transform(F.array_distinct(grams(F.col("w"), n)), lambda h, n=n: F.struct(F.lit(n).alias("gram"), h.alias("h"))))
+        kept = F.concat(kept, marked(F.array_distinct(grams(F.col("w"), n)), n))
     prints = base.select("key", F.explode(kept).alias("p")).select("key", "p.gram", "p.h")
     shared = prints.join(broadcast_if_small(bench, n_marks, 16), ["gram", "h"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("gram", "h")).alias("shared"))
     shared = staged(shared, "bench-shared")
@@ -83,15 +100,13 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     # 2. Extend: windows that start up to ``span - k`` words before a shared hash, checked by their words.
     n_shared = shared.agg(F.coalesce(F.sum(F.size("shared") + 4), F.lit(0))).first()[0]
     again = d.join(broadcast_if_small(shared, n_shared, 24), "key").select("key", words(F.col("text")).alias("w"), "shared")
-    spread = again.select("key", "w", F.transform(F.filter("shared", lambda s: s["gram"] == k), lambda s: s["h"]).alias("long"), "shared")
+    spread = again.select("key", "w", hashes_of("shared", k).alias("long"), "shared")
     hashes = spread.select("key", "w", "shared", "long", grams(F.col("w"), k).alias("g"))
-    near = F.flatten(F.transform(F.filter(F.transform("g", lambda h, i: F.when(F.array_contains("long", h), i)), lambda i: i.isNotNull()), lambda i: F.sequence(F.greatest(i - (span - k), F.lit(0)), i)))
-    fit = F.filter(F.array_distinct(near), lambda i: i + span <= F.size("w"))
-    places = F.transform(fit, lambda i: F.struct(i.alias("at"), F.lit(span).alias("size"), F.array_join(F.slice("w", i + 1, span), " ").alias("window")))
+    near = F.flatten(F.transform(spots(F.col("g"), F.col("long")), lambda i: F.sequence(F.greatest(i - (span - k), F.lit(0)), i)))
+    places = placed(F.filter(F.array_distinct(near), lambda i: i + span <= F.size("w")), span)
     for n in lengths:
-        own = F.transform(F.filter("shared", lambda s, n=n: s["gram"] == n), lambda s: s["h"])
-        here = F.filter(F.transform(grams(F.col("w"), n), lambda h, i, own=own: F.when(F.array_contains(own, h), i)), lambda i: i.isNotNull())
-        places = F.concat(places, F.transform(here, lambda i, n=n: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("w", i + 1, n), " ").alias("window"))))
+        hashes = hashes.withColumns({f"g{n}": grams(F.col("w"), n), f"own{n}": hashes_of("shared", n)})
+        places = F.concat(places, placed(spots(F.col(f"g{n}"), F.col(f"own{n}")), n))
     tried = hashes.select("key", F.explode(places).alias("p")).select("key", "p.at", "p.size", "p.window")
     known = windows.select("window", "size").distinct()
     n_bytes = windows.agg(F.coalesce(F.sum(F.octet_length("window") + 32), F.lit(0))).first()[0]

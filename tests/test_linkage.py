@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from matchloom.operators import blocking, features, matching, metrics, validate
 from matchloom.plans import pipeline
 from matchloom.sources import sinks, tsv
@@ -181,3 +183,15 @@ def test_train_and_infer(spark, tmp_path):
     assert lines == ["source1_entity_id\tcandidate_entity_ids", "S1-901\tS2-901,S3-901"]
     assert (tmp_path / "out" / "matching_results.tsv").read_text().splitlines()[0] == "source1_entity_id\tmatched_entity_ids"
     assert validate.report(validate.validate(spark, str(tmp_path / "out" / "matching_results.tsv"), str(tmp_path / "out" / "candidate_pairs.tsv"), str(test), True))[1] == 0
+
+
+def test_match_stream(spark, tmp_path):
+    from matchloom.streaming.incremental import match_stream
+
+    s1, t = frames(spark, [("S1-1", "acme corp", "1 main st", "us"), ("S1-2", "zeta", "9 side rd", "us")], [("S2-1", "acme corp", "1 main st", "us"), ("S3-1", "other", "x", "us")])
+    for k in (1, 3):
+        t.where(F.col("entity_id") == f"S{5 - k if k == 3 else 3}-1").write.mode("append").parquet(str(tmp_path / "in"))
+    arrivals = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
+    match_stream(arrivals, s1, matching.EntityMatcher(0.5), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    found = {(r.s1_id, r.target_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {("S1-1", "S2-1")}

@@ -16,8 +16,8 @@ from matchloom.llm.queries import tokenizer_path
 
 #: Documents below this quality score go.
 QUALITY_FROM = 0.7
-#: Documents whose language is unknown or has a lower posterior than this go.
-LANGUAGE_FROM = 0.5
+#: Documents whose language is unknown or whose posterior is hardly above chance go; short clean texts stay.
+LANGUAGE_FROM = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import decontaminate, jaccard_join, language, packing, quality
-from matchloom.llm.common import staged, table, unstage
+from matchloom.llm.common import broadcast_if_small, staged, table, unstage
 from matchloom.llm.queries import tokenizer_path
 
 #: Documents below this quality score go.
@@ -31,17 +31,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return known.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LANGUAGE_FROM)).select(*docs.columns)
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the ids of a staged one-column table; texts move only if that table is large."""
+    return docs.join(broadcast_if_small(ids, ids.count(), 16), "doc_id", "left_anti").select(*docs.columns)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group, once; documents without words are in no group and stay."""
     groups = jaccard_join.jaccard_components(docs, words=5, num=80, den=100)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    first = (F.col("doc_id") == F.col("component_id")).cast("int")
+    by_id = staged(groups.groupBy("doc_id").agg(F.max(first).alias("first"), F.count("*").alias("n")), "near-ids")
+    later = staged(by_id.where("first = 0").select("doc_id"), "near-later")
+    repeated = staged(by_id.where("first = 1 and n > 1").select("doc_id"), "near-repeated")
+    kept = without(docs, later)
+    again = kept.join(broadcast_if_small(repeated, repeated.count(), 16), "doc_id", "left_semi").select(*docs.columns)
+    return without(kept, repeated).unionByName(again.dropDuplicates(["doc_id"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    dirty = staged(judged.where("contaminated").select("doc_id").distinct(), "dirty")
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, staged(judged.where("contaminated").select("doc_id").distinct(), "dirty"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from .common import broadcast_if_small, staged, unstage
 from .components import components
 
 #: Groups above this many sets are compared with pivots first; rounds of pivots at most.
-PIVOT_FROM, PIVOT_ROUNDS = 16, 3
+PIVOT_FROM, PIVOT_ROUNDS = 16, 2
 #: A group's sets in one tree; larger groups are traversed as pairs of blocks of this size.
 BLOCK = 4096
 #: Bits of a signature, sets in a leaf, children of an inner node.
@@ -280,30 +280,26 @@ def jaccard_components(df: DataFrame, *, id_column: str = "doc_id", text_column:
     # Parts that at least two different sets share; from here on a set goes by its short key.
     part = base.select("short", F.explode("parts").alias("part"))
     over = Window.partitionBy("part")
-    shared = part.withColumns({"lo": F.min("short").over(over), "hi": F.max("short").over(over)}).where("lo <> hi")
-    members = staged(shared.select("part", F.col("short").alias("id")).distinct(), "members")
+    shared = part.withColumns({"lo": F.min("short").over(over), "hi": F.max("short").over(over), "size": F.count("*").over(over)}).where("lo <> hi")
+    members = staged(shared.select("part", F.col("short").alias("id"), "size").distinct(), "members")
     wanted = staged(classes.join(members.select(F.col("id").alias("short")).distinct(), "short", "left_semi").select(F.col("rep").alias("id")).distinct(), "wanted")
     sets = docs.join(broadcast_if_small(wanted, wanted.count(), 16), "id", "left_semi")
     sets = staged(full_sets(sets, words).dropDuplicates(["id"]), "full")
-    sizes = staged(members.groupBy("part").agg(F.count("*").alias("size")), "sizes")
     labels, linked = None, []
-    big = members.join(sizes.where(F.col("size") > PIVOT_FROM), "part")
+    big = members.where(F.col("size") > PIVOT_FROM).select("part", "id")
     for round_ in range(PIVOT_ROUNDS):
-        rows = big.select("part", "id") if labels is None else big.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("part", "id", F.coalesce("label", "id").alias("label"))
-        if labels is None:
-            rows = rows.withColumn("label", F.col("id"))
+        rows = big.withColumn("label", F.col("id")) if labels is None else big.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         order = F.struct(F.xxhash64("label", F.lit(round_)).alias("h"), F.xxhash64("id", F.lit(round_)).alias("g"), F.col("id"), F.col("label"))
-        pivots = rows.groupBy("part").agg(F.min(order).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("part", F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label"))
-        star = rows.join(pivots, "part").where("label <> pivot_label").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        # A part's members stand together for the window, so the pivot costs no further shuffle.
+        pivot = F.min(order).over(Window.partitionBy("part"))
+        star = rows.withColumn("p", pivot).where(F.col("label") != F.col("p.label")).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
         star = staged(star, "star")
         if star.isEmpty():
             break
-        found = staged(verified(star, sets, num, den), "star-links")
-        linked.append(found)
+        linked.append(staged(verified(star, sets, num, den), "star-links"))
         unstage(star)
-        labels = components(functools.reduce(DataFrame.unionByName, linked), "pivot-cc")
-        labels = staged(labels, "labels")
-    rows = members.join(sizes, "part").join(sets.select("id", "n", "bitmap"), "id")
+        labels = staged(components(functools.reduce(DataFrame.unionByName, linked), "pivot-cc"), "labels")
+    rows = members.join(sets.select("id", "n", "bitmap"), "id")
     rows = rows.withColumn("label", F.col("id")) if labels is None else rows.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.greatest(blocks, F.lit(1))).cast("int")
@@ -317,5 +313,5 @@ def jaccard_components(df: DataFrame, *, id_column: str = "doc_id", text_column:
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = staged(named.join(smallest, "label").select("digest", "component_id"), "of-class")
     out = base.select("id", "n", "digest").join(of_class, "digest", "left")
-    unstage(members, wanted, sets, sizes, *linked)
+    unstage(members, wanted, sets, *linked)
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -142,7 +142,13 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     own = sets.select("id", "members")
-    rows = pairs.join(own.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+    n = pairs.count()
+    left = own.join(broadcast_if_small(pairs, n, 24), F.col("id") == F.col("a")).select("a", "b", F.col("members").alias("x"))
+    # The other ends are few where they are pivots; then their sets go to the pairs and no set is shuffled.
+    right = own.join(broadcast_if_small(pairs.select("b").distinct(), n, 16), F.col("id") == F.col("b"), "left_semi")
+    size = right.agg(F.coalesce(F.sum(F.octet_length("members") + 32), F.lit(0))).first()[0]
+    right = broadcast_if_small(right.select(F.col("id").alias("b"), F.col("members").alias("y")), size, 1, 32 << 20)
+    rows = left.join(right, "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,9 +288,11 @@ def jaccard_components(df: DataFrame, *, id_column: str = "doc_id", text_column:
     over = Window.partitionBy("part")
     shared = part.withColumns({"lo": F.min("short").over(over), "hi": F.max("short").over(over), "size": F.count("*").over(over)}).where("lo <> hi")
     members = staged(shared.select("part", F.col("short").alias("id"), "size").distinct(), "members")
+    slim = staged(base.select("id", "n", "digest"), "set-ids")
+    unstage(base)
     wanted = staged(classes.join(members.select(F.col("id").alias("short")).distinct(), "short", "left_semi").select(F.col("rep").alias("id")).distinct(), "wanted")
     sets = docs.join(broadcast_if_small(wanted, wanted.count(), 16), "id", "left_semi")
-    sets = staged(full_sets(sets, words).dropDuplicates(["id"]), "full")
+    sets = staged(full_sets(sets, words), "full")  # a set twice (of repeated ids) only repeats its links
     labels, linked = None, []
     big = members.where(F.col("size") > PIVOT_FROM).select("part", "id")
     for round_ in range(PIVOT_ROUNDS):
@@ -292,7 +300,8 @@ def jaccard_components(df: DataFrame, *, id_column: str = "doc_id", text_column:
         order = F.struct(F.xxhash64("label", F.lit(round_)).alias("h"), F.xxhash64("id", F.lit(round_)).alias("g"), F.col("id"), F.col("label"))
         # A part's members stand together for the window, so the pivot costs no further shuffle.
         pivot = F.min(order).over(Window.partitionBy("part"))
-        star = rows.withColumn("p", pivot).where(F.col("label") != F.col("p.label")).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+        # Of the pivots of all its parts a set meets the first one only: at most one pair for each set.
+        star = rows.withColumn("p", pivot).where(F.col("label") != F.col("p.label")).groupBy(F.col("id").alias("a")).agg(F.min("p").alias("p")).select("a", F.col("p.id").alias("b"))
         star = staged(star, "star")
         if star.isEmpty():
             break
@@ -312,6 +321,6 @@ def jaccard_components(df: DataFrame, *, id_column: str = "doc_id", text_column:
     named = classes.join(final.select(F.col("node").alias("short"), "label"), "short", "left").withColumn("label", F.coalesce("label", "short"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = staged(named.join(smallest, "label").select("digest", "component_id"), "of-class")
-    out = base.select("id", "n", "digest").join(of_class, "digest", "left")
+    out = slim.join(of_class, "digest", "left")
     unstage(members, wanted, sets, *linked)
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -5,7 +5,8 @@ neighbouring ones compared in blocks) and is refined by joining each vector's ne
 one another (neighbours of neighbours), forward and reverse.  Lists keep the ``k`` best at or
 above ``floor``; a list that is full of links doubles its ``k``.  Pairs at or above the threshold
 are links.  Recall is audited against brute force for a set of vectors; below the goal, more
-orders are added and the refinement goes on.  Last, lists of linked groups are completed:
+orders are added and the refinement goes on.  Components with lists full of links, whose limit
+may hide links between them, are compared with each other exactly.  Last, lists of linked groups are completed:
 inside each component blocks of vectors are compared with each other, so that counts do not
 depend on list lengths.
 
@@ -23,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, unstage
+from .common import broadcast_if_small, staged, unstage
 from .components import components
 
 #: Vectors compared at once; orders at first; neighbours kept at first and at most; refinements at most.
 BLOCK, ORDERS, FIRST_K, MOST_K, REFINEMENTS = 256, 6, 12, 48, 6
 #: Vectors that the audit compares with all others, and the recall it asks for.
 AUDITED, RECALL = 64, 0.98
+#: Bytes of vectors that are broadcast at once to look for links between components.
+CHUNK_BYTES = 16 << 20
 LIST = "a long, b long, s double"
 
 
@@ -180,6 +183,82 @@ def true_links(vectors: DataFrame, edges: DataFrame, threshold: float, sample: i
     return vectors.select("id", "v").mapInArrow(run, LIST).select("a", "b").distinct()
 
 
+def linked_pieces(rows: list[tuple[int, int, bytes]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(id, label, vector) rows as pieces of one label each, by width: labels, centres, radii (angles), members."""
+    out = []
+    for width in sorted({len(r[2]) for r in rows}):
+        own = sorted((r for r in rows if len(r[2]) == width), key=lambda r: (r[1], r[0]))
+        x, label = unit([r[2] for r in own]), np.array([r[1] for r in own])
+        members = np.split(x, np.flatnonzero(label[1:] != label[:-1]) + 1)
+        centres = np.array([m[0] if len(m) == 1 else unit([(m.sum(0) if np.linalg.norm(m.sum(0)) > 1e-9 else m[0]).tobytes()])[0] for m in members])
+        radii = np.array([0.0 if len(m) == 1 else np.arccos(np.clip(m @ c, -1, 1)).max() for m, c in zip(members, centres)])
+        out.append((np.unique(label), centres, radii, members))
+    return out
+
+
+def merged(rows: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``labels`` after joining any two components of ``rows`` (id, label, v) that have a link between them.
+
+    Exact: all rows meet all pieces of components, CHUNK_BYTES of vectors at a time.  A piece is left out for a row
+    only where the angle to its centre exceeds the link's angle and the piece's radius together.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("v") + 16), F.lit(0))).first()[0]
+    chunks = max(1, -(-size // CHUNK_BYTES))
+    cut = staged(rows.repartitionByRange(chunks, "label", "id").withColumn("chunk", F.spark_partition_id()), "vector-chunks")
+    reach = np.arccos(threshold) + 1e-6
+    found = None
+    for k in range(chunks):
+        pieces = spark.sparkContext.broadcast(linked_pieces([(r.id, r.label, bytes(r.v)) for r in cut.where(F.col("chunk") == k).collect()]))  # about CHUNK_BYTES
+
+        def run(batches: Iterator[pa.RecordBatch], pieces=pieces) -> Iterator[pa.RecordBatch]:
+            seen: set[tuple[int, int]] = set()
+            for batch in batches:
+                own, data, fresh = batch.column(0).to_numpy(), batch.column(1).to_pylist(), set()
+                for names, centres, radii, members in pieces.value:
+                    mine = [i for i, r in enumerate(data) if len(r) == 8 * centres.shape[1]]
+                    step = max(1, 4_000_000 // len(names))
+                    for at in range(0, len(mine), step):
+                        x, label = unit([data[i] for i in mine[at : at + step]]), own[mine[at : at + step]]
+                        s = x @ centres.T
+                        single = np.array([len(m) == 1 for m in members])
+                        near = np.where(single, s >= threshold, np.arccos(np.clip(s, -1, 1)) <= reach + radii) & (label[:, None] > names)
+                        for g in np.flatnonzero(near.any(0)):
+                            hit = np.flatnonzero(near[:, g])
+                            if not single[g]:
+                                hit = hit[[(label[i], names[g]) not in seen for i in hit]]
+                                tile = max(1, 4_000_000 // len(members[g]))
+                                hit = np.concatenate([hit[:0], *(hit[j : j + tile][(x[hit[j : j + tile]] @ members[g].T >= threshold).any(1)] for j in range(0, len(hit), tile))])
+                            fresh |= {(int(label[i]), int(names[g])) for i in hit}
+                fresh -= seen
+                seen |= fresh
+                a, b = (np.array([p[i] for p in sorted(fresh)], np.int64) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        part = cut.select("label", "v").mapInArrow(run, "a long, b long").distinct()
+        part = staged(part, "vector-merges")
+        found = part if found is None else found.unionByName(part)
+    if found.isEmpty():
+        return labels
+    return staged(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found), "vector-cc"), "vector-labels")
+
+
+def labelled(reps: DataFrame, labels: DataFrame) -> DataFrame:
+    named = reps.join(broadcast_if_small(labels.select(F.col("node").alias("id"), "label"), labels.count(), 16), "id", "left")
+    return named.select("id", F.coalesce("label", "id").alias("label"), "v")
+
+
+def saturated(lists: DataFrame, labels: DataFrame, reps: DataFrame, threshold: float) -> DataFrame | None:
+    """The vectors (id, label, v) of components that hold a list full of links, or None if fewer than two do.
+
+    Only between such components can the lists' limit hide a link: a pair stays in the list of an end that has room.
+    """
+    full = lists.groupBy("a").agg(F.first("k").alias("k"), F.count("*").alias("n"), F.min("s").alias("low")).where((F.col("n") >= F.col("k")) & (F.col("low") >= threshold))
+    names = staged(full.join(labels, F.col("a") == F.col("node")).select("label").distinct(), "vector-full")
+    n = names.count()
+    return labelled(reps, labels).join(broadcast_if_small(names, n, 8), "label", "left_semi").select("id", "label", "v") if n > 1 else None
+
+
 def complete(groups: DataFrame, threshold: float) -> DataFrame:
     """Links of each vector within its component: rows (id, n), from blocks of vectors compared with each other."""
 
@@ -249,6 +328,9 @@ def neighbour_components(df: DataFrame, *, id_column: str = "vec_id", vector_col
             before = now
         edges = lists.where(F.col("s") >= threshold).select("a", "b")
         labels = staged(components(edges, "vector-cc"), "vector-labels")
+        crowded = saturated(lists, labels, reps, threshold)
+        if crowded is not None:
+            labels = merged(crowded, labels, threshold)
         # Components are completed exactly, so a true link counts as found if its ends are in one component.
         pair = true_links(reps, edges, threshold).join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
         total, hit = pair.agg(F.count("*"), F.coalesce(F.sum((F.col("la") == F.col("lb")).cast("long")), F.lit(0))).first()

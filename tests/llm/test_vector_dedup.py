@@ -45,3 +45,17 @@ def test_components_and_links(spark):
 
 def test_empty_table(spark):
     assert neighbour_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_tight_groups_with_links_between_them(spark):
+    """Lists full of inner links hide all links between two groups; these must be joined all the same."""
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal(32)
+    base /= np.linalg.norm(base)
+    side = rng.standard_normal(32)
+    side -= side @ base * base
+    other = 0.94 * base + (1 - 0.94**2) ** 0.5 * side / np.linalg.norm(side)
+    rows = [(k, ((base, other)[k % 2] + 0.0177 * rng.standard_normal(32)).tolist()) for k in range(600)]
+    rows += [(600 + k, rng.standard_normal(32).tolist()) for k in range(50)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbour_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute(rows)

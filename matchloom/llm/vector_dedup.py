@@ -4,8 +4,9 @@ A neighbour graph starts from random-hyperplane orders (vectors sorted by their
 neighbouring ones compared in blocks) and is refined by joining each vector's neighbours with
 one another (neighbours of neighbours), forward and reverse.  Lists keep the ``k`` best at or
 above ``floor``; a list that is full of links doubles its ``k``.  Pairs at or above the threshold
-are links.  Recall is audited against brute force for a set of vectors; below the goal, more
-orders are added and the refinement goes on.  Components with lists full of links, whose limit
+are links.  Recall by vector is audited against brute force for a random set of vectors; below the
+goal, more orders are added and the refinement goes on, and if that does not reach it all vectors
+are compared with all.  Components with lists full of links, whose limit
 may hide links between them, are compared with each other exactly.  Last, lists of linked groups are completed:
 inside each component blocks of vectors are compared with each other, so that counts do not
 depend on list lengths.
@@ -29,8 +30,9 @@ from .components import components
 
 #: Vectors compared at once; orders at first; neighbours kept at first and at most; refinements at most.
 BLOCK, ORDERS, FIRST_K, MOST_K, REFINEMENTS = 256, 6, 12, 48, 6
-#: Vectors that the audit compares with all others, and the recall it asks for.
-AUDITED, RECALL = 64, 0.98
+#: Vectors that the audit compares with all others at first and at most, those with links outside large
+#: components that it wants, and the recall it asks for.
+AUDITED, MOST_AUDITED, LINKED, RECALL = 512, 8192, 200, 0.98
 #: Bytes of vectors that are broadcast at once to look for links between components.
 CHUNK_BYTES = 16 << 20
 LIST = "a long, b long, s double"
@@ -160,27 +162,47 @@ def refined(lists: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
     return seats.mapInArrow(run, LIST)
 
 
-def true_links(vectors: DataFrame, edges: DataFrame, threshold: float, sample: int = AUDITED) -> DataFrame:
-    """All links (a, b) of ``sample`` vectors, those with the smallest hashes, and of as many that have links, by brute force."""
-    linked = edges.select(F.col("a").alias("id")).distinct().join(vectors, "id").orderBy(F.xxhash64("id")).limit(sample)
-    chosen = vectors.orderBy(F.xxhash64("id")).limit(sample).select("id", "v").unionByName(linked.select("id", "v")).collect()  # 2 * sample vectors
-    ids, raw = [r.id for r in chosen], [bytes(r.v) for r in chosen]
+def audit(rows: DataFrame, threshold: float, sample: int = AUDITED) -> float:
+    """Recall of ``rows`` (id, label, v) by vector, from brute force for vectors drawn by the hashes of their ids alone.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            own, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for width in {len(r) for r in raw}:
-                q = [i for i, r in enumerate(raw) if len(r) == width]
-                rows = [i for i, r in enumerate(data) if len(r) == width]
-                if rows:
-                    s = unit([raw[i] for i in q]) @ unit([data[i] for i in rows]).T
-                    a, b = np.array([ids[i] for i in q]), np.array([own[i] for i in rows])
-                    x, y = np.nonzero((s >= threshold) & (a[:, None] != b))
-                    out.append((a[x], b[y], s[x, y]))
-            yield listed(out)
-
-    return vectors.select("id", "v").mapInArrow(run, LIST).select("a", "b").distinct()
+    A vector's recall is the share of its links whose other end has its label, averaged over the drawn vectors that
+    have links.  Vectors of components with more than a hundredth of all vectors are averaged apart, and the lesser
+    average counts, so that a large group cannot cover for small ones.  More are drawn until LINKED of those outside
+    large components have links, or MOST_AUDITED are drawn.
+    """
+    spark = rows.sparkSession
+    total = rows.count()
+    large = {r.label for r in rows.groupBy("label").count().where(F.col("count") > max(1, total // 100)).select("label").collect()}  # at most 100 rows
+    while True:
+        chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # at most MOST_AUDITED vectors
+        ids, label = np.array([r.id for r in chosen], np.int64), np.array([r.label for r in chosen], np.int64)
+        raw = spark.sparkContext.broadcast([bytes(r.v) for r in chosen])
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, label=label, raw=raw) -> Iterator[pa.RecordBatch]:
+            n, same = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            drawn = {w: [i for i, r in enumerate(raw.value) if len(r) == w] for w in {len(r) for r in raw.value}}
+            x = {w: unit([raw.value[i] for i in q]) for w, q in drawn.items()}
+            for batch in batches:
+                own, of = (batch.column(k).to_numpy() for k in (0, 1))
+                data = batch.column(2).to_pylist()
+                for w, q in drawn.items():
+                    mine = [i for i, r in enumerate(data) if len(r) == w]
+                    step = max(1, 4_000_000 // len(q))
+                    for at in range(0, len(mine), step):
+                        part = mine[at : at + step]
+                        i, j = np.nonzero(x[w] @ unit([data[k] for k in part]).T >= threshold)
+                        i, j = np.array(q)[i], np.array(part)[j]
+                        i, j = i[ids[i] != own[j]], j[ids[i] != own[j]]
+                        n += np.bincount(i, minlength=len(ids))
+                        same += np.bincount(i[label[i] == of[j]], minlength=len(ids))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(same[at])], ["at", "n", "same"])
+
+        sums = rows.select("id", "label", "v").mapInArrow(run, "at long, n long, same long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).collect()
+        inside, outside = ([r.same / r.n for r in sums if (int(label[r.at]) in large) == big] for big in (True, False))
+        if len(outside) >= LINKED or sample >= min(total, MOST_AUDITED):
+            return min((float(np.mean(part)) for part in (inside, outside) if part), default=1.0)
+        sample = min(4 * sample, MOST_AUDITED)
 
 
 def linked_pieces(rows: list[tuple[int, int, bytes]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
@@ -332,9 +354,10 @@ def neighbour_components(df: DataFrame, *, id_column: str = "vec_id", vector_col
         if crowded is not None:
             labels = merged(crowded, labels, threshold)
         # Components are completed exactly, so a true link counts as found if its ends are in one component.
-        pair = true_links(reps, edges, threshold).join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        total, hit = pair.agg(F.count("*"), F.coalesce(F.sum((F.col("la") == F.col("lb")).cast("long")), F.lit(0))).first()
-        if total == 0 or hit >= RECALL * total or len(seeds) >= 4 * ORDERS:
+        if audit(labelled(reps, labels), threshold) >= RECALL:
+            break
+        if len(seeds) >= 4 * ORDERS:  # the descent does not get there: all vectors meet all
+            labels = merged(labelled(reps, labels), labels, threshold)
             break
         seeds = list(range(max(seeds) + 1, max(seeds) + 1 + 2 * len(seeds)))
     grouped = labels.join(reps, F.col("node") == F.col("id")).select(F.col("label").alias("c"), "id", "v", "weight")

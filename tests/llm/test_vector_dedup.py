@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from matchloom.llm import vector_dedup
 from matchloom.llm.vector_dedup import neighbour_components
 
 
@@ -59,3 +60,18 @@ def test_tight_groups_with_links_between_them(spark):
     rows += [(600 + k, rng.standard_normal(32).tolist()) for k in range(50)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbour_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == brute(rows)
+
+
+def test_audit_sees_small_groups_beside_a_large_one(spark, monkeypatch):
+    """Blocks of two find the large group and miss most pairs; the audit must not pass before they are found."""
+    monkeypatch.setattr(vector_dedup, "BLOCK", 2)
+    monkeypatch.setattr(vector_dedup, "ORDERS", 1)
+    monkeypatch.setattr(vector_dedup, "REFINEMENTS", 1)
+    rng = np.random.default_rng(2)
+    bases = rng.standard_normal((161, 32))
+    rows = [(bases[0] + 0.02 * rng.standard_normal(32)).tolist() for _ in range(160)]
+    rows += [(b + 0.2 * rng.standard_normal(32)).tolist() for b in bases[1:] for _ in range(2)]
+    table = list(enumerate(rows))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbour_components(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()}
+    want = brute(table)
+    assert np.mean([got[k] == want[k] for k in want if k >= 160]) >= 0.98

@@ -123,3 +123,24 @@ def test_licences(spark):
     want = {r.doc_id for r in base.collect() if any(line in (r.text or "").split("\n") for line in lines)}
     found = {r.doc_id for r in license_scan.document_licences(base, model).collect() if r.families}
     assert found == want
+
+
+def test_wrapped_licences(spark):
+    """Notices hard-wrapped over lines, plain and in comments, at any width, among other lines."""
+    import textwrap
+
+    model = license_scan.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    notices = {
+        "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+        "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "MPL": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    }
+    rows = []
+    for fam, text in notices.items():
+        for width in (24, 72):
+            for mark in ("", "# ", " * ", "-- "):
+                rows.append((len(rows), "\n".join(["er sagte nichts", "", *(mark + x for x in textwrap.wrap(text, width)), "", "the end"]), fam))
+    rows.append((len(rows), "permission is hereby granted\n\nto any person\n\nobtaining a copy", ""))
+    got = {r.doc_id: r.families for r in license_scan.document_licences(spark.createDataFrame(rows, "doc_id long, text string, x string"), model).collect()}
+    assert got == {k: f for k, _, f in rows}

@@ -4,8 +4,9 @@ Each language gets a variable-order byte context tree from its training texts: n
 contexts of up to ``order`` bytes hold symbol counts, and a symbol not seen in a context
 escapes to the next shorter one (method C: the escape's share is the number of distinct
 symbols), down to all 256 bytes alike.  Statistics are frozen after training, so the exact
-code length of a symbol in a context is a constant; lengths are laid out in one array and a
-text's code length under every language is a sum of lookups over all its bytes.
+code length of a symbol in a context is a constant.  Only the contexts and symbols seen are
+stored, so the order is the same for any number of languages and bytes, and a text's code
+length under every language is a sum of lookups over all its bytes.
 
 Null texts and texts without a letter are ``und`` with score 0.  Equal code lengths go to
 the first language in code-point order.  Without training rows everything is ``und``.
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 #: Training documents of each language at most, and the bytes a training document has at most.
 MAX_DOCS, MAX_DOC_BYTES = 400, 60_000
-#: Entries of the code-length table at most; the order falls until it fits.
-MAX_ENTRIES = 24_000_000
+#: Keys up to which a step's distinct ones are found by marking rather than sorting.
+MARKED = 1 << 25
 STEP_BYTES = 2 << 20
 
 
@@ -36,22 +37,43 @@ class Languages:
     order: int
     symbol: np.ndarray  # byte -> symbol; bytes never seen in training share symbol 0
     width: int
-    bits: np.ndarray  # [language, context and symbol] code lengths
+    seen: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]  # [language][context length]: keys, bits, contexts, bits of their escapes
+
+    def bits(self, language: int, keys: np.ndarray) -> np.ndarray:
+        """Code lengths in bits of keys (context and symbol) of the full order."""
+        out = np.full(len(keys), 8.0)
+        for k, (known, cost, contexts, escape) in enumerate(self.seen[language]):
+            part = keys % self.width ** (k + 1)
+            for table, value, sought, add in ((contexts, escape, part // self.width, True), (known, cost, part, False)):
+                at = np.minimum(np.searchsorted(table, sought), len(table) - 1)
+                hit = table[at] == sought
+                out = np.where(hit, value[at] + out if add else value[at], out)
+        return out
 
     def lengths(self, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Code lengths in bits, [text, language], of the texts that end at ``cuts`` in ``raw``."""
         starts = np.append(0, cuts[:-1])
-        code = self.symbol[raw].astype(np.int32)
+        code = self.symbol[raw].astype(np.int64)
         key, begun = code.copy(), self.symbol[10]
         place = np.arange(len(raw)) - np.repeat(starts, cuts - starts)
         for k in range(1, self.order + 1):
-            past = np.full(len(raw), begun, np.int32)
+            past = np.full(len(raw), begun, np.int64)
             past[k:] = code[:-k] if k < len(raw) else code[:0]
             past[place < k] = begun  # before a text stand line ends
-            key += past * np.int32(self.width**k)
+            key += past * self.width**k
+        size = self.width ** (self.order + 1)
+        if size <= MARKED:
+            mark = np.zeros(size, bool)
+            mark[key] = True
+            kinds = np.flatnonzero(mark)
+            number = np.empty(size, np.int32)
+            number[kinds] = np.arange(len(kinds), dtype=np.int32)
+            key = number[key]
+        else:
+            kinds, key = np.unique(key, return_inverse=True)
         total = np.zeros((len(cuts), len(self.names)))
         for j in range(len(self.names)):
-            run = np.append(0.0, np.cumsum(self.bits[j][key], dtype=np.float64))
+            run = np.append(0.0, np.cumsum(self.bits(j, kinds)[key]))
             total[:, j] = run[cuts] - run[starts]
         return total
 
@@ -70,36 +92,37 @@ def train(samples: list[tuple[str, str]], order: int = 2) -> Languages:
     symbol = np.zeros(256, np.int32)
     symbol[seen] = np.arange(1, seen.sum() + 1)
     width = int(seen.sum()) + 1
-    while order and width ** (order + 1) * max(1, len(names)) > MAX_ENTRIES:
-        order -= 1
-    bits = np.zeros((len(names), width ** (order + 1)), np.float32)
+    model = Languages(names, order, symbol, width, [[] for _ in names])
     for j, x in enumerate(names):
-        # Order -1: all 256 bytes alike; symbol 0 stands for any of the bytes never seen.
-        p = np.full((1, width), 1.0 / 256)
+        codes = [symbol[np.frombuffer(t, np.uint8)].astype(np.int64) for t in raw[x]]
         for k in range(order + 1):
-            keys = [np.zeros(0, np.int64)]
-            for t in raw[x]:
-                code = symbol[np.frombuffer(t, np.uint8)].astype(np.int64)
-                keys.append(sum(code[order - i : len(code) - i] * width**i for i in range(k + 1)))
-            table = np.bincount(np.concatenate(keys), minlength=width ** (k + 1)).reshape(-1, width)
-            total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            lower = np.tile(p, (width, 1)) if k else p  # a longer context's number begins with its farthest byte
-            escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-            # A seen symbol has its share, and every symbol what the escape leaves it.
-            p = table / np.maximum(total + kinds, 1) + escape * lower
-        bits[j] = -np.log2(p).ravel()
-    return Languages(names, order, symbol, width, bits)
+            known, n = np.unique(np.concatenate([sum(c[order - i : len(c) - i] * width**i for i in range(k + 1)) for c in codes]), return_counts=True)
+            if not len(known):
+                break
+            contexts, at, kinds = np.unique(known // width, return_inverse=True, return_counts=True)
+            total = np.bincount(at, n) + kinds
+            # A seen symbol has its share, and every symbol what the escape leaves it; order -1 has all 256 bytes alike.
+            lower = np.exp2(-model.bits(j, known % width**k)) if k else 1.0 / 256
+            escape = kinds / total
+            model.seen[j].append((known, -np.log2(n / total[at] + escape[at] * lower), contexts, -np.log2(escape)))
+    return model
 
 
 def fit(docs: DataFrame, usable: Column, *, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", order: int = 2, max_docs: int = MAX_DOCS) -> Languages:
     """Train on at most ``max_docs`` documents of each language, those with the smallest hash of their id
-    among the usable ones of 200 to ``MAX_DOC_BYTES`` bytes (if a language has none of these, of any size up to it)."""
+    among the usable ones of 200 to ``MAX_DOC_BYTES`` bytes (if a language has none of these, of any size up to it;
+    if all its texts are longer, on the shortest ones, whole, until they hold as many bytes as the others may)."""
     size = F.octet_length(text_column)
-    rows = docs.where(usable & F.col(language_column).isNotNull() & (size > 0) & (size <= MAX_DOC_BYTES))
-    rows = rows.select(F.col(language_column).cast("string").alias("lang"), (size < 200).alias("short"), F.xxhash64(F.col(id_column)).alias("h"), F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"))
-    order_by = Window.partitionBy("lang").orderBy("short", "h", "id", "text")
+    rows = docs.where(usable & F.col(language_column).isNotNull() & (size > 0))
+    least = rows.groupBy(F.col(language_column).cast("string").alias("lang")).agg(F.min(size).alias("least")).where(F.col("least") > MAX_DOC_BYTES)
+    long = [r.lang for r in least.collect()]  # languages
+    rows = rows.where((size <= MAX_DOC_BYTES) | F.col(language_column).cast("string").isin(long))
+    rows = rows.select(F.col(language_column).cast("string").alias("lang"), (size < 200).alias("short"), F.greatest(size, F.lit(MAX_DOC_BYTES)).alias("size"), F.xxhash64(F.col(id_column)).alias("h"), F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"))
+    order_by = Window.partitionBy("lang").orderBy("short", "size", "h", "id", "text")
     # A rank limit is applied before the shuffle as well, so no task gets a whole language.
-    got = rows.withColumn("rank", F.row_number().over(order_by)).where(F.col("rank") <= max_docs).select("lang", "text").collect()
+    top = rows.withColumn("rank", F.row_number().over(order_by)).where(F.col("rank") <= max_docs)
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("rank")) - F.col("size")
+    got = top.withColumn("before", before).where(F.col("before") < max_docs * MAX_DOC_BYTES).select("lang", "text").collect()
     return train([(r.lang, r.text) for r in got], order)
 
 
@@ -112,7 +135,7 @@ def identify(docs: DataFrame, model: Languages, *, text_column: str = "text") ->
     keep = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "_letters")]
     slim = docs.select(*keep, F.coalesce(F.col(text_column).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     at = keep.index(text_column)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_ENTRIES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = shared.value

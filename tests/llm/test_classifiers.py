@@ -144,3 +144,17 @@ def test_wrapped_licences(spark):
     rows.append((len(rows), "permission is hereby granted\n\nto any person\n\nobtaining a copy", ""))
     got = {r.doc_id: r.families for r in license_scan.document_licences(spark.createDataFrame(rows, "doc_id long, text string, x string"), model).collect()}
     assert got == {k: f for k, _, f in rows}
+
+
+def test_language_order_does_not_depend_on_size(spark):
+    """Many languages over many byte values keep the order; a language of long texts only is learned."""
+    rng = random.Random(4)
+    kinds = "".join(chr(c) for c in range(33, 700))
+    samples = [(f"l{k:02d}", "".join(rng.choice(kinds) for _ in range(400))) for k in range(30)]
+    m = language.train([*samples, ("ab", "abcabd" * 50), ("ba", "bacbad" * 50)], 2)
+    assert m.order == 2 and len(m.names) == 32
+    raw = np.frombuffer(b"abcabdabc", np.uint8)
+    assert m.names[int(m.lengths(raw, np.array([9]))[0].argmin())] == "ab"
+    df = spark.createDataFrame([(1, "the cat sat " * 30, "en"), (2, "der hund lief " * 6000, "de")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, language.fit(df, F.lit(True))).collect()}
+    assert got == {1: "en", 2: "de"}

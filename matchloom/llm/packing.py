@@ -1,11 +1,13 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Round ``r`` of ``R`` entitles queue ``i`` (with ``T_i`` of all ``T`` tokens) to
-``T_i * r / R`` tokens in total; it sends ``floor`` of that less what it has sent, and the
-fraction left is the deficit it carries into the next round.  Queues send in fixed order
-within a round, and the stream is cut every ``length`` tokens.  So every window but the last
-is full, its mix is the target mix to within a token or two per queue, and all queues run
-dry together.
+``T_i * r / R`` tokens in total; it sends ``floor`` of that and its phase, less what it has sent,
+and the fraction left is the deficit it carries into the next round.  Phases are spread evenly
+over queues of the same size, which together are then within a token of their due.  Every source
+is a queue.  Queues send in fixed order within a round, those with fewer tokens first, and the
+stream is cut every ``length`` tokens.  So every window but the last is full, each queue is
+within about a round's tokens of its due in all windows so far, and all queues run dry together.
+The target is always the corpus's own mix.
 
 The state before any round follows from ``T_i``, ``R`` and ``r`` alone.  That lets every
 partition compute where its tokens go without seeing the others: deficits cross windows and
@@ -28,10 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import staged
+from .common import broadcast_if_small, staged
 
-#: Above this many sources, sources share queues by hash, so that each task's table of queue totals stays small.
-MAX_QUEUES = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -73,22 +73,22 @@ def pack(df: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int = 1,
     """
     spark = df.sparkSession
     tokens = staged(tokenize(df, tokenizer, id_column=id_column, text_column=text_column, source_column=source_column, end_id=end_id), "pack-tokens")
-    runs = tokens.groupBy("source", "task").agg(F.sum("n").alias("n"))  # one row for each task and source
-    names = runs.select("source").distinct()
-    queue = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    if names.count() > MAX_QUEUES:
-        queue = F.format_string("%06d", F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES)))
-    runs = staged(runs.select("source", "task", "n", queue.alias("queue")), "pack-runs")
-    totals = sorted((r.queue, r.n) for r in runs.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # at most MAX_QUEUES rows
-    order = Window.partitionBy("queue").orderBy("source", "task").rowsBetween(Window.unboundedPreceding, -1)
-    index = F.create_map(*[F.lit(x) for k, (q, _) in enumerate(totals) for x in (q, k)]) if totals else F.create_map(F.lit(""), F.lit(0))
-    bases = staged(runs.select("source", "task", index[F.col("queue")].alias("queue_no"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "pack-bases")
+    runs = staged(tokens.groupBy("source", "task").agg(F.sum("n").alias("n")), "pack-runs")  # one row for each task and source
+    queues = staged(runs.groupBy("source").agg(F.sum("n").alias("total")), "pack-queues")
+    # A queue's place is told by its total and its number among the queues of that total, so tasks hold one row for each total.
+    totals = sorted((r.total, r["count"]) for r in queues.groupBy("total").count().collect())  # k different totals take k * k / 2 tokens
+    sizes, counts = [n for n, _ in totals], [c for _, c in totals]
+    listed = spark.createDataFrame([(n, k) for k, n in enumerate(sizes)], "total long, queue_no long")
+    number = F.row_number().over(Window.partitionBy("total").orderBy("source")) - 1
+    queues = queues.withColumn("rank", number.cast("long")).join(broadcast_if_small(listed, len(sizes), 16), "total")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = runs.withColumn("base", before).alias("r").join(queues.alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")))
+    bases = staged(bases.select("r.source", "r.task", "q.queue_no", "q.rank", "r.base"), "pack-bases")
     placed = tokens.alias("t").join(bases.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")) & (F.col("t.task") == F.col("b.task")))
-    placed = placed.select("t.doc_id", "t.source", "b.queue_no", (F.col("b.base") + F.col("t.first")).alias("at"), "t.n", "t.ids")
-    sizes = [n for _, n in totals]
+    placed = placed.select("t.doc_id", "t.source", "b.queue_no", (F.col("b.base") + F.col("t.first")).alias("at"), "t.n", "t.ids", "b.rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Rounds(sizes, length)
+        plan = Rounds(sizes, length, counts)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 yield pieces(plan, batch.slice(k, 256), length)
@@ -97,38 +97,51 @@ def pack(df: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int = 1,
 
 
 class Rounds:
-    """Where the round-robin puts each token of each queue."""
+    """Where the round-robin puts each token of each queue; ``counts`` tells how many queues share a size."""
 
-    def __init__(self, sizes: list[int], length: int):
-        total = sum(sizes)
+    def __init__(self, sizes: list[int], length: int, counts: list[int] | None = None):
+        self.counts = counts or [1] * len(sizes)
+        total = sum(n * c for n, c in zip(sizes, self.counts))
         self.rounds = max(1, -(-total // length))
         # Products reach sizes * rounds; beyond 64 bits Python's integers take over.
-        self.kind = np.int64 if max(sizes, default=0) * self.rounds < 2**62 else object
+        self.kind = np.int64 if 64 * total * self.rounds < 2**62 else object
         self.sizes = np.array(sizes, self.kind)
 
-    def segments(self, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def sent(self, j: int, m: np.ndarray | int, rnd: np.ndarray) -> np.ndarray:
+        """What the first ``m`` queues of size ``j`` have sent by the end of a round."""
+        R, c, u = self.rounds, self.counts[j], j * 40 % 64
+        due = self.sizes[j] * rnd
+        late = -(-(64 * c * (R - due % R) - u * R) // (64 * R))  # queues from here on are one token ahead of the others
+        return m * (due // R) + np.maximum(m - late, 0)
+
+    def segments(self, queue: np.ndarray, at: np.ndarray, n: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Cut runs of tokens by round: owner, first token in the run, tokens, and position in the stream."""
         R, size = self.rounds, self.sizes[queue]
         at, n = at.astype(self.kind), n.astype(self.kind)
-        of_round = lambda x: -((-(x + 1) * R) // size)  # noqa: E731  the round, from 1, that sends token x
+        many = np.array(self.counts, self.kind)[queue]
+        ahead = np.zeros(len(queue), self.kind) if rank is None else rank.astype(self.kind)
+        phase = 64 * ahead + queue.astype(self.kind) * 40 % 64  # in 64ths of a queue's step
+        of_round = lambda x: -(-R * (64 * many * (x + 1) - phase) // (64 * many * size))  # noqa: E731  the round, from 1, that sends token x
         first, last = of_round(at), of_round(at + n - 1)
-        many = (last - first + 1).astype(np.int64)
-        owner = np.repeat(np.arange(len(queue)), many)
-        rnd = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[owner]
-        mine, q = size[owner], queue[owner]
-        begun = mine * (rnd - 1) // R
+        number = (last - first + 1).astype(np.int64)
+        owner = np.repeat(np.arange(len(queue)), number)
+        rnd = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + first[owner]
+        q, m, c, f, k = queue[owner], size[owner], many[owner], phase[owner], ahead[owner]
+        sent = lambda r: (64 * c * m * r + f * R) // (64 * c * R)  # noqa: E731  by the queue itself
+        begun = sent(rnd - 1)
         low = np.maximum(begun, at[owner])
-        high = np.minimum(mine * rnd // R, (at + n)[owner])
+        high = np.minimum(sent(rnd), (at + n)[owner])
         place = low - begun
-        for j, t in enumerate(self.sizes):  # queues before mine have sent this round, the others not
-            place = place + t * (rnd - (q <= j)) // R
+        for j, (t, c) in enumerate(zip(self.sizes, self.counts)):  # queues before mine have sent this round, the others not
+            before = np.where(q == j, k, np.where(q < j, 0, c))
+            place = place + self.sent(j, before, rnd) + self.sent(j, c, rnd - 1) - self.sent(j, before, rnd - 1)
         keep = high > low
         return owner[keep], (low - at[owner])[keep].astype(np.int64), (high - low)[keep].astype(np.int64), place[keep].astype(np.int64)
 
 
 def pieces(plan: Rounds, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     queue, at, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
-    owner, start, size, place = plan.segments(queue, at, n)
+    owner, start, size, place = plan.segments(queue, at, n, batch.column(6).to_numpy(zero_copy_only=False))
     head = np.minimum(size, length - place % length)  # what still goes into the sequence that is open
     tail = size - head
     more = tail > 0  # a round sends at most ``length`` tokens of a queue, so one cut is enough

@@ -87,3 +87,23 @@ def test_rounds_beyond_64_bits():
     args = np.array([0, 1]), np.array([0, 0]), np.array([700, 300])
     for a, b in zip(small.segments(*args), large.segments(*args)):
         assert a.tolist() == b.tolist()
+
+
+def test_packing_many_sources(spark):
+    """Beside a hot source each of 1,500 small ones keeps its own pace over the windows."""
+    rows = [(k, "th er in " * 40, f"s{k}") for k in range(1500)] + [(2000 + k, "th er in " * 400, "hot") for k in range(75)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    pieces = packing.pack(df, PATH, length=8192).collect()
+    size = {p.doc_id: p.doc_tokens for p in pieces}
+    total = sum(size.values())
+    windows = -(-total // 8192)
+    assert sum(p.length for p in pieces) == total and len({p.sequence_id for p in pieces}) == windows
+    sent, hot = {}, {}
+    for p in pieces:
+        sent[p.source, p.sequence_id] = sent.get((p.source, p.sequence_id), 0) + p.length
+    share = sum(n for k, n in size.items() if k >= 2000) / total
+    for w in range(windows - 1):
+        assert abs(sent["hot", w] - 8192 * share) <= 4 + 8192 / windows  # two different totals; a round is shorter than a window by up to this much
+        for k in range(1500):  # in all windows so far, but for the tokens of one round
+            due = 8192 * size[k] / total
+            assert abs(sum(sent.get((f"s{k}", v), 0) for v in range(w + 1)) - due * (w + 1)) <= due + 2

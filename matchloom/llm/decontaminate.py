@@ -113,13 +113,13 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     return tried.join(broadcast_if_small(known, n_bytes, 1), ["window", "size"], "left_semi"), windows
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_key: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256 and contaminated.
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_key: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5, keep_text_hash: bool = False) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated and, if asked for, text_hash.
 
     Documents with the same id are told apart by their text; equal rows share one result.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    slim = docs.select(F.col(id_column).alias("_id"), text.alias("text"), F.concat_ws(":", F.col(id_column).cast("string"), F.xxhash64(text).cast("string")).alias("key"))
+    slim = docs.select(F.col(id_column).alias("_id"), text.alias("text"), F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"), F.concat_ws(":", F.col(id_column).cast("string"), F.xxhash64(text).cast("string")).alias("key"))
     hits, windows = find_overlaps(slim, items, key="key", text_column="text", item_key=item_key, item_text=item_text, span=span, k=k)
     hits = staged(hits.distinct(), "bench-hits")
     covered = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("at"))
@@ -128,9 +128,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id
     found = hits.select("key", "window", "size").distinct().join(windows, ["window", "size"]).select("key", "item").distinct()
     listed = found.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
     result = staged(covered.select("key", union.alias("n_hit")).join(listed, "key").select("key", "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")), "bench-result")
-    rows = slim.select("_id", "key", F.size(words(F.col("text"))).alias("n_words"))
+    rows = slim.select("_id", "text_hash", "key", F.size(words(F.col("text"))).alias("n_words"))
     joined = rows.join(broadcast_if_small(result, result.count(), 200), "key", "left")
     return joined.select(
         F.col("_id").alias(id_column), F.col("n_words").cast("long").alias("n_words"), F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.col("n_items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), *(["text_hash"] if keep_text_hash else []),
     )

@@ -132,8 +132,9 @@ def identify(docs: DataFrame, model: Languages, *, text_column: str = "text") ->
     The score is the language's posterior with equal priors, from code lengths per
     square root of the byte count, so that long texts do not all reach exactly 1.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "_letters")]
-    slim = docs.select(*keep, F.coalesce(F.col(text_column).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    keep = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    mark = "_letters" + "_" * max(map(len, keep))  # no column of that name
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_column).cast("string").rlike(r"\p{L}"), F.lit(False)).alias(mark))
     at = keep.index(text_column)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training texts
 

@@ -53,9 +53,10 @@ def corpus(seed, groups=12, copies=14):
     return docs + [(5000, None), (5001, ""), (5002, "  \n"), (5003, "One"), (5004, "one"), (5005, "ONE two")]
 
 
-@pytest.mark.parametrize(("words", "num", "den"), [(3, 90, 100), (5, 80, 100)])
-def test_components(spark, monkeypatch, words, num, den):
-    monkeypatch.setattr(J, "PIVOT_FROM", 4)
+@pytest.mark.parametrize(("words", "num", "den", "block", "rounds"), [(3, 90, 100, 2048, 8), (5, 80, 100, 2048, 8), (3, 90, 100, 4, 0), (3, 80, 100, 4, 1), (5, 50, 100, 6, 2)])
+def test_components(spark, monkeypatch, words, num, den, block, rounds):
+    for name, value in (("BLOCK", block), ("ROUNDS", rounds), ("IN_TASK", 2), ("IN_ALL", 3), ("SLICE", 3)):
+        monkeypatch.setattr(J, name, value)
     docs = corpus(words)
     got = J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), words=words, num=num, den=den).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, words, num, den)
@@ -66,31 +67,39 @@ def test_empty_table(spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_parts_cover_all_links():
-    """Sets at the threshold share a part whatever their sizes."""
+def test_repeated_rows_ids_and_columns(spark):
+    """Equal rows count each; different texts of one id stay apart; null ids take part; other columns don't matter."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, one), (7, one), (7, two), (9, two + " more"), (None, one), (3, one + " end"), (None, None), (8, None), (8, "")]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, id int, label int, n int")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.component_key is None) for r in J.jaccard_components(df).collect())
+    assert got == sorted([("7", 36, "3", False)] * 2 + [("7", 36, "7", False), ("9", 37, "7", False), ("None", 36, "3", False), ("3", 37, "3", False), ("None", 0, "None", True), ("8", 0, "8", True), ("8", 0, "8", True)])
+    keys = {(r.doc_id, r.text_hash): r.component_key for r in J.jaccard_components(df).collect() if r.component_key is not None}
+    assert len(keys) == 5 and len(set(keys.values())) == 2
+
+
+def test_prefixes_of_linked_sets_meet():
+    """Sets at the threshold share a prefix element whatever their sizes and the mask."""
     rng = np.random.default_rng(3)
-    sizes = J.Sizes(90, 100)
     for _ in range(300):
+        masked = rng.integers(0, 256, J.MASK // 8, dtype=np.uint8) * rng.choice([0, 1]).astype(np.uint8)
         n = int(rng.integers(1, 400))
         common = rng.integers(0, 2**63, n, dtype=np.uint64)
         extra = int((n * 100 // 90 - n))
         split = int(rng.integers(0, extra + 1))
         own = rng.integers(0, 2**63, extra, dtype=np.uint64)
         x, y = np.unique(np.append(common, own[:split])), np.unique(np.append(common, own[split:]))
-        assert set(J.part_hashes(x, sizes).tolist()) & set(J.part_hashes(y, sizes).tolist())
+        assert set(J.prefix(x, masked, 90, 100).tolist()) & set(J.prefix(y, masked, 90, 100).tolist())
 
 
-def test_tree_finds_what_scanning_finds():
+@pytest.mark.parametrize(("two", "share"), [(False, 1), (True, 1), (True, 4)])
+def test_trees_find_what_scanning_finds(two, share):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     sets = [np.unique(np.append(base[: int(rng.integers(60, 300))], rng.integers(0, 2**63, int(rng.integers(0, 25)), dtype=np.uint64))) for _ in range(150)]
-    sets.sort(key=len)
     n = np.array([len(s) for s in sets])
-    bits = np.zeros((len(sets), J.BITS), np.uint8)
-    for i, s in enumerate(sets):
-        bits[i, (J.mix(s ^ (J.ODD << np.uint64(1))) % np.uint64(J.BITS)).astype(np.int64)] = 1
-    tree = J.Tree(n, np.packbits(bits, axis=1).view(np.uint64))
-    p, q = J.traverse(tree, tree, True, 80, 100)
-    found = set(zip(p.tolist(), q.tolist()))
-    linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
-    assert linked and linked <= found and len(found) < len(sets) * (len(sets) - 1) // 2
+    label, side = rng.integers(0, 30, 150), rng.integers(0, 2, 150) * two
+    found = {(min(i, j), max(i, j)) for p, q, _ in J.meetings(np.arange(150), n, label, [J.bitmap(s, share) for s in sets], side, 80, 100) for i, j in zip(p.tolist(), q.tolist())}
+    wanted = {(i, j) for j in range(150) for i in range(j) if label[i] != label[j] and (not two or side[i] != side[j])}
+    linked = {(i, j) for i, j in wanted if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert linked and linked <= found <= wanted and len(found) < len(wanted)

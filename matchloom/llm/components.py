@@ -1,65 +1,30 @@
 """Connected components by alternating large-star and small-star steps.
 
-A step sorts the edges by node within hash partitions and streams over them: the smallest
-neighbour of a node comes first, so a task holds one batch however many neighbours a node
-has.  One iteration is two shuffles and one staged table; a lost executor costs one read.
+A step deals the edges by node and takes the smallest neighbour over a window, which spills
+where a node has many neighbours.  One iteration is two shuffles and one staged table, all of
+it DataFrame operations; a lost executor costs one read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, unstage
 
-EDGE = "a long, b long, changed boolean"
-
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node with the smallest of the node and its neighbours."""
-    both = edges.select(F.explode(F.array(F.struct("a", "b", "changed"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("changed")))).alias("e")).select("e.a", "e.b", "e.changed")
-    return starred(both, large=True)
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+    least = F.least("a", F.min("b").over(Window.partitionBy("a")))
+    return both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"), (F.col("m") != F.col("a")).alias("changed"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours with the smallest of them; ``a`` is the larger end."""
-    return starred(edges, large=False)
-
-
-def starred(edges: DataFrame, large: bool) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node = least = before = None
-        for batch in batches:
-            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            if not len(a):
-                continue
-            flag = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            first = np.append(True, a[1:] != a[:-1])
-            start = np.flatnonzero(first)
-            low = b[start].copy()
-            if a[0] == node:
-                low[0] = least
-            m = np.repeat(low, np.diff(np.append(start, len(a))))
-            fresh = np.append((a[0], b[0]) != before, ~first[1:] & (b[1:] != b[:-1]) | first[1:])
-            if a[0] != node:
-                fresh[0] = True
-            node, least, before = a[-1], m[-1], (a[-1], b[-1])
-            if large:
-                m = np.minimum(a, m)
-                keep = fresh & (b > a)
-                out = (b[keep], m[keep], flag[keep] | (m != a)[keep])
-            else:
-                more = fresh & (b != m)
-                head = first & fresh
-                out = (np.append(b[more], a[head]), np.append(m[more], m[head]), np.append(np.ones(more.sum(), bool), flag[head]))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "changed"])
-
-    # Of equal edges the changed one stands first, so that a change is never dropped as a repeat.
-    return edges.repartition("a").sortWithinPartitions("a", "b", F.desc("changed")).mapInArrow(run, EDGE)
+    once = edges.repartition("a").groupBy("a", "b").agg(F.max("changed").alias("changed")).withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    more = F.col("b") != F.col("m")
+    return once.select(F.when(more, F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"), (more | F.col("changed")).alias("changed"))
 
 
 def components(pairs: DataFrame, tag: str = "cc") -> DataFrame:
@@ -67,10 +32,10 @@ def components(pairs: DataFrame, tag: str = "cc") -> DataFrame:
 
     Nodes that are their own smallest are rows too; nodes without pairs are not.
     """
-    edges = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(False).alias("changed"))
+    edges = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     table = staged(small_star(large_star(edges)), tag)
     while not table.where("changed").isEmpty():
-        after = staged(small_star(large_star(table.withColumn("changed", F.lit(False)))), tag)
+        after = staged(small_star(large_star(table.select("a", "b"))), tag)
         unstage(table)
         table = after
     own = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("label")), F.struct(F.col("b").alias("node"), F.col("b").alias("label")))).alias("x")

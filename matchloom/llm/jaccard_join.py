@@ -25,7 +25,7 @@ give empty results.  Only the named columns are read, so extra columns cannot cl
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,30 +156,32 @@ def bitmap(s: np.ndarray, share: int = 1, each: int = BITS_EACH) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def of_documents(docs: DataFrame, chosen: DataFrame, n: int, made) -> DataFrame:  # noqa: ANN001
-    """(k, data) of the classes (k, id, text_hash, digest) in ``chosen``: what ``made`` makes of their sets."""
-    size = chosen.count()
+def of_documents(docs: DataFrame, chosen: DataFrame, size: int, n: int, made: dict[str, Callable[[np.ndarray], bytes]]) -> DataFrame:
+    """(k, *made) of the ``size`` classes (k, id, text_hash, digest) in ``chosen``: what each of ``made`` makes of their sets."""
     rows = docs.alias("d").join(broadcast_if_small(chosen, size, 64).alias("c"), (F.col("d.text_hash") == F.col("c.text_hash")) & F.col("d.id").eqNullSafe(F.col("c.id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out = [], []
+            keys, out = [], {x: [] for x in made}
             for k, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(text, n)
                 if xxhash.xxh3_128_digest(s.tobytes()) == digest:
                     keys.append(k)
-                    out.append(made(s))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["k", "data"])
+                    for x, make in made.items():
+                        out[x].append(make(s))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(v, pa.binary()) for v in out.values())], ["k", *out])
 
-    return rows.select("c.k", "c.digest", "d.text").mapInArrow(run, "k long, data binary").dropDuplicates(["k"])
+    found = rows.select("c.k", "c.digest", "d.text").mapInArrow(run, "k long, " + ", ".join(f"{x} binary" for x in made))
+    return found.dropDuplicates(["k"])  # equal rows make it twice
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; a set meets its partners in slices, so that none is alone with all."""
+def verified(pairs: DataFrame, n: int, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the ``n`` pairs (a, b) whose full sets reach the threshold; a set meets its partners in slices, so that none is alone with all."""
     slices = F.ceil(F.count("*").over(Window.partitionBy("b")) / SLICE)
     cut = pairs.select("a", "b", F.pmod(F.xxhash64("a"), slices).alias("slice"))
-    hubs = cut.select("b", "slice").distinct().join(sets, F.col("b") == F.col("k")).select("b", "slice", F.lit(0).alias("part"), F.lit(None).cast("long").alias("a"), "data")
-    rows = hubs.unionByName(cut.join(sets, F.col("a") == F.col("k")).select("b", "slice", F.lit(1).alias("part"), "a", "data"))
+    small = lambda df: broadcast_if_small(df, n, 24)
+    hubs = sets.join(small(cut.select("b", "slice").distinct()), F.col("k") == F.col("b")).select("b", "slice", F.lit(0).alias("part"), F.lit(None).cast("long").alias("a"), "data")
+    rows = hubs.unionByName(sets.join(small(cut), F.col("k") == F.col("a")).select("b", "slice", F.lit(1).alias("part"), "a", "data"))
     rows = rows.repartition("b", "slice").sortWithinPartitions("b", "slice", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +309,7 @@ def tree_pairs(rows: DataFrame, keys: list[str], num: int, den: int, nearest: bo
 
 def families(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) that join sets which are candidates for one another, from seats (e, kind, l, r, side, k, n, label, data): at most one a set and seat."""
-    return met(rows, ["e", "kind", "l", "r"], num, den, "families").distinct()
+    return met(rows, ["e", "kind", "l", "r"], num, den, "families")
 
 
 def met(rows: DataFrame, keys: list[str], num: int, den: int, mode: str) -> DataFrame:
@@ -342,7 +344,7 @@ def met(rows: DataFrame, keys: list[str], num: int, den: int, mode: str) -> Data
             better = most > best[p]
             best[p[better]], other[p[better]] = most[better], q[better]
         at = np.flatnonzero(best >= 0)
-        return ids[at], ids[other[at]]
+        return np.minimum(ids[at], ids[other[at]]), np.maximum(ids[at], ids[other[at]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, out, seen = None, [], [], set()
@@ -390,20 +392,21 @@ class Links:
         labels = broadcast_if_small(self.labels.select(F.col("node").alias("k"), "label"), self.labels.count(), 16)
         return rows.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
 
-    def add(self, pairs: DataFrame) -> int:
-        """Verify staged ``pairs`` and merge; the number of links."""
-        if pairs.isEmpty():
+    def add(self, pairs: DataFrame) -> bool:
+        """Verify staged ``pairs`` and merge; whether links were a notable share of them."""
+        tried = pairs.count()
+        if not tried:
             unstage(pairs)
-            return 0
-        ends = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+            return False
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
         for known in self.sets:
             ends = ends.join(known.select("k"), "k", "left_anti")
         ends = staged(ends, "ends")
         more = ends.count()
         if more:
             chosen = self.classes.join(broadcast_if_small(ends, more, 8), "k", "left_semi").select("k", "id", "text_hash", "digest")
-            self.sets.append(staged(of_documents(self.docs, chosen, self.words, np.ndarray.tobytes), "full"))
-        links = staged(verified(pairs, functools.reduce(DataFrame.unionByName, self.sets), self.num, self.den), "links")
+            self.sets.append(staged(of_documents(self.docs, chosen, more, self.words, {"data": np.ndarray.tobytes}), "full"))
+        links = staged(verified(pairs, tried, functools.reduce(DataFrame.unionByName, self.sets), self.num, self.den), "links")
         found = links.count()
         unstage(ends, pairs)
         if found:
@@ -412,7 +415,7 @@ class Links:
             if before is not None:
                 unstage(before)
         unstage(links)
-        return found
+        return 8 * found > tried
 
 
 def live(rows: DataFrame) -> DataFrame:
@@ -469,26 +472,24 @@ def jaccard_components(df: DataFrame, *, id_column: str = "doc_id", text_column:
     by_short = broadcast_if_small(classes.select("short", "n", "k"), classes.count(), 24)
     seats = staged(members.join(by_short, ["short", "n"]).select("e", "k", "n"), "seats")
     unstage(members)
-    wanted = staged(seats.select("k").distinct(), "wanted")
-    chosen = classes.join(broadcast_if_small(wanted, wanted.count(), 8), "k", "left_semi").select("k", "id", "text_hash", "digest")
-    maps = staged(of_documents(docs, chosen, words, bitmap), "signatures")
-    links = Links(docs, classes, words, num, den)
     homes = staged(home_seats(seats), "homes")
+    wanted = homes.count()
+    chosen = classes.join(broadcast_if_small(homes.select("k"), wanted, 8), "k", "left_semi").select("k", "id", "text_hash", "digest")
+    sketch = functools.partial(bitmap, share=SKETCHED, each=2)
+    maps = staged(of_documents(docs, chosen, wanted, words, {"data": bitmap, "sketch": sketch}), "signatures")
+    signatures, sketches = maps.select("k", "data"), maps.select("k", F.col("sketch").alias("data"))
+    links = Links(docs, classes, words, num, den)
     for round_ in range(ROUNDS):
-        near = tree_pairs(in_blocks(live(links.labelled(homes)), round_).join(maps, "k"), ["e", "block"], num, den, nearest=True)
-        pairs = staged(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
-        tried = pairs.count()
-        if 16 * links.add(pairs) <= tried:
+        own = broadcast_if_small(in_blocks(live(links.labelled(homes)), round_), wanted, 48)
+        if not links.add(staged(tree_pairs(signatures.join(own, "k"), ["e", "block"], num, den, nearest=True), "near-pairs")):
             break
-    sketches = staged(of_documents(docs, chosen, words, functools.partial(bitmap, share=SKETCHED, each=2)), "sketches")
     alike = staged(families(all_seats(live(links.labelled(seats))).join(sketches, "k"), num, den), "alike")
-    unstage(seats, homes, sketches)
+    unstage(seats)
     # Candidates of one family meet once, however many n-grams they share.
-    family = staged(components(alike, "family-cc"), "families")
-    sizes = broadcast_if_small(classes.select("k", "n"), classes.count(), 16)
-    meets = all_seats(live(links.labelled(family.select(F.col("label").alias("e"), F.col("node").alias("k")).join(sizes, "k")))).join(maps, "k")
-    links.add(staged(tree_pairs(meets, ["e", "kind", "l", "r"], num, den, nearest=False).distinct(), "tree-pairs"))
-    unstage(alike, family, wanted)
+    family = staged(components(alike, "family-cc").join(homes.select(F.col("k").alias("node"), "n"), "node"), "families")
+    meets = all_seats(live(links.labelled(family.select(F.col("label").alias("e"), F.col("node").alias("k"), "n"))))
+    links.add(staged(tree_pairs(meets.join(signatures, "k"), ["e", "kind", "l", "r"], num, den, nearest=False), "tree-pairs"))
+    unstage(alike, family, homes)
     named = links.labelled(classes.select("k", "rep", "digest", "copies"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
     n_groups = staged(smallest, "components")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,5 +52,26 @@ def id_remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
+    """The rows of an Arrow batch as tuples, made a few at a time so that a batch of long texts is never held twice."""
+    for at in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns))
+
+
+def smallest_hashes(df: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The ``most`` rows of ``df`` that come first by ``order``, whose first column is a 64-bit hash.
+
+    Rows are counted, and only those below a bound that leaves about twice as many as wanted are ordered, so that
+    tasks need not each send ``most`` rows.
+    """
+    n = df.count()
+    if n > 4 * most:
+        bound = -(2**63) + 2**64 * 2 * most // n
+        few = df.where(F.col(order[0]) < F.lit(bound))
+        if few.count() >= most:
+            df = few
+    return df.orderBy(*order).limit(most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, staged, unstage
+from .common import broadcast_if_small, rows_of, staged, unstage
 from .components import components
 
 #: Sets compared in one tree; larger meetings are cut into blocks of this size.
@@ -45,7 +45,7 @@ BITS_EACH, SKETCHED, LEAF, FANOUT = 4, 4, 16, 8
 #: Buckets of the mask of repeated n-grams, and those it may hold; repeats within a task and in all that count.
 MASK, MOST_MASKED, IN_TASK, IN_ALL = 1 << 25, 1 << 21, 2, 8
 #: Elements counted at once when repeats are sought; pairs verified with one copy of a set.
-COUNTED, SLICE = 4_000_000, 512
+COUNTED, SLICE = 2_000_000, 512
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,15 +88,18 @@ def repeated(docs: DataFrame, n: int) -> np.ndarray:
         held, known = [], set()
 
         def flush() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            many = counts >= IN_TASK
+            values = np.concatenate([np.zeros(0, np.uint64), *held])
             held.clear()
             known.clear()
-            return pa.RecordBatch.from_arrays([pa.array((values[many] % np.uint64(MASK)).astype(np.int64)), pa.array(counts[many].astype(np.int64))], ["bucket", "n"])
+            values.sort()
+            at = np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values)) if len(values) else np.zeros(1, np.int64)
+            counts = np.diff(at)
+            many = counts >= IN_TASK
+            return pa.RecordBatch.from_arrays([pa.array((values[at[:-1][many]] % np.uint64(MASK)).astype(np.int64)), pa.array(counts[many].astype(np.int64))], ["bucket", "n"])
 
         size = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for (text,) in rows_of(batch):
                 s = shingles(text, n)
                 key = xxhash.xxh3_128_digest(s.tobytes())
                 if key in known:
@@ -130,7 +133,7 @@ def sets_table(docs: DataFrame, mask: np.ndarray, num: int, den: int, n: int) ->
         known = set()
         for batch in batches:
             size, digest, short, parts = [], [], [], []
-            for text in batch.column(2).to_pylist():
+            for _, _, text in rows_of(batch):
                 s = shingles(text, n)
                 raw = s.tobytes()
                 d = xxhash.xxh3_128_digest(raw)
@@ -163,7 +166,7 @@ def of_documents(docs: DataFrame, chosen: DataFrame, size: int, n: int, made: di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, out = [], {x: [] for x in made}
-            for k, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, digest, text in rows_of(batch):
                 s = shingles(text, n)
                 if xxhash.xxh3_128_digest(s.tobytes()) == digest:
                     keys.append(k)
@@ -188,7 +191,7 @@ def verified(pairs: DataFrame, n: int, sets: DataFrame, num: int, den: int) -> D
         hub = None
         for batch in batches:
             a, b = [], []
-            for y, _, part, x, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for y, _, part, x, data in rows_of(batch):
                 own = np.frombuffer(data, np.uint64)
                 if part == 0:
                     hub = own

@@ -1,6 +1,7 @@
 """Language, quality, URLs and licences: held-out accuracy and odd rows."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -113,13 +114,6 @@ def test_licences(spark):
     rows += [(10, None, ""), (11, "", ""), (12, "the driver's license was old", ""), (13, "\n".join(lines), ",".join(sorted(lines.values())))]
     got = {r.doc_id: r for r in license_scan.document_licences(spark.createDataFrame(rows, "doc_id long, text string, x string"), model).collect()}
     assert {k: got[k].families for k, _, _ in rows} == {k: f for k, _, f in rows}
-    # The strong words lose nothing: a paragraph without any of them is unknown under the whole model.
-    for text in [r.text for r in base.limit(50).collect()]:
-        for line in (text or "").split("\n"):
-            words = license_scan.tokens(line)
-            if not set(words) & set(model.strong):
-                z = np.array(model.bias) + sum((np.array(model.weights[g]) for g in license_scan.ngrams(words) if g in model.weights), np.zeros(len(model.bias)))
-                assert model.families[int(z.argmax())] == license_scan.UNKNOWN
     want = {r.doc_id for r in base.collect() if any(line in (r.text or "").split("\n") for line in lines)}
     found = {r.doc_id for r in license_scan.document_licences(base, model).collect() if r.families}
     assert found == want
@@ -142,10 +136,70 @@ def test_wrapped_licences(spark):
             for mark in ("", "# ", " * ", "-- "):
                 rows.append((len(rows), "\n".join(["er sagte nichts", "", *(mark + x for x in textwrap.wrap(text, width)), "", "the end"]), fam))
     rows.append((len(rows), "permission is hereby granted\n\nto any person\n\nobtaining a copy", ""))
+    agpl = notices["GPL"].replace("GNU General", "GNU Affero General")
+    rows += [(len(rows), "\n".join(textwrap.wrap(agpl, 60)), "AGPL"), (len(rows) + 1, "word " * 900 + agpl + " end" * 900 + notices["MIT"], "AGPL,MIT"), (len(rows) + 2, "licensed under the acme license version 7", "")]
     got = {r.doc_id: r.families for r in license_scan.document_licences(spark.createDataFrame(rows, "doc_id long, text string, x string"), model).collect()}
     assert got == {k: f for k, _, f in rows}
 
 
+def judge(model, text, least=0.5):
+    """A document's families, plainly: windows of paragraphs, scored in numpy, compared with the templates."""
+    sure, maybe, places, best = set(), set(), set(), 0.0
+    for place, p in enumerate(re.split(r"\r?\n[ \t\r\f]*\n", text or "")):
+        w, size = license_scan.tokens(p), license_scan.LONGEST
+        for at in range(0, len(w) - size, size) if len(w) > 2 * size else [0]:
+            part = w[at : at + 2 * size]
+            if not re.search(license_scan.ANCHOR, " ".join(part)):
+                continue
+            z = model.margins(part)
+            line = f" {' '.join(part)} "
+            found = {}
+            for j, family in enumerate(model.families[:-1]):
+                odds = 1 / (1 + np.exp(z[-1] - z[j]))
+                held = any(sum(f" {s} " in line for s in set(license_scan.shingles(t))) >= 0.8 * len(set(license_scan.shingles(t))) for t in license_scan.SHAPES[family])
+                if held and odds >= least:
+                    found[family] = odds
+            sure |= set(found)
+            share = 1 / np.exp(z - z.max()).sum()
+            if not found and z.argmax() < len(z) - 1 and share >= least:
+                family = model.families[int(z.argmax())]
+                maybe.add(family)
+                found = {family: share}
+            if found:
+                places.add(place)
+                best = max(best, *found.values())
+    return len(places), ",".join(sorted(sure)), ",".join(sorted(maybe - sure)), best
+
+
+def test_licences_against_plain_version(spark):
+    """The query's whole result on a small table with notices, near misses, long, empty, null and repeated texts."""
+    model = license_scan.fit(spark.createDataFrame([], "doc_id long, text string"))
+    rng = random.Random(9)
+    words = sorted({w for ts in license_scan.SHAPES.values() for t in ts for w in t} | set("er sagte nichts the end of all things".split()))
+    notices = [t for ts in license_scan.TEMPLATES.values() for t in ts]
+    rows = [(1, None), (2, ""), (3, "\n\n \n"), (4, "license"), (4, "license"), (5, notices[0])]
+    for k in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.random()
+            if kind < 0.4:
+                t = rng.choice(notices).split()
+                parts.append(" ".join(w if rng.random() > 0.05 else "x" for w in t))
+            else:
+                parts.append(" ".join(rng.choice(words) for _ in range(rng.choice([4, 20, 300]))))
+        rows.append((10 + k, rng.choice(["\n", "\n\n", "\n \t\n"]).join(parts)))
+    got = license_scan.document_licences(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, key int, place int"), model).collect()
+    have = sorted((r.doc_id, r.n_paragraphs, r.families, r.unconfirmed) for r in got)
+    want = {r: judge(model, r[1]) for r in set(rows)}
+    assert have == sorted((r[0], *want[r][:3]) for r in rows)
+    assert {r.doc_id: r.best_score for r in got} == pytest.approx({r[0]: want[r][3] for r in rows}, abs=1e-5)
+    assert sum(bool(x[1]) for x in want.values()) > 10 and sum(bool(x[2]) for x in want.values()) > 3
+
+
+def test_every_template_has_an_anchor():
+    assert all(re.search(license_scan.ANCHOR, t) or re.search("licensed", t) for ts in license_scan.TEMPLATES.values() for t in ts)
+
+
 def test_language_order_does_not_depend_on_size(spark):
     """Many languages over many byte values keep the order; a language of long texts only is learned."""
     rng = random.Random(4)

@@ -61,6 +61,8 @@ class WordBPE:
         self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
         self.special = sorted({t["content"][:2] for t in spec.get("added_tokens", [])})
+        strings = sorted((t["content"] for t in spec.get("added_tokens", [])), key=lambda x: (-len(x), x))
+        self.controls = regex.compile("|".join(map(regex.escape, strings)) or r"(?!)")
         self.symbols = byte_symbols()
         self.longest = max(len(t) - len(self.end) * t.endswith(self.end) for t in self.vocab)
         self.fits: dict[tuple[str, str], bool] = {}
@@ -170,7 +172,7 @@ class WordBPE:
         return ids[::-1], counts
 
     def solve_chunk(self, chunk: str, prefixes: bool) -> tuple[list[int], list[int]]:
-        """The same for a chunk without white space; odd chunks go to the library itself."""
+        """The same for a chunk without white space."""
         lower = chunk.lower()
         plain = chunk.isascii() or (unicodedata.is_normalized("NFC", chunk) and len(lower) == len(chunk))
         if plain and not any(x in lower for x in self.special):
@@ -187,8 +189,70 @@ class WordBPE:
                 ids.extend(known[0])
             if chunk.isascii() or self.is_latin(chunk) or ids == self.library.encode(chunk, add_special_tokens=False).ids:
                 return ids, counts
-        count = lambda t: len(self.library.encode(t, add_special_tokens=False).ids)
-        return self.library.encode(chunk, add_special_tokens=False).ids, [count(chunk[: i + 1]) for i in range(len(chunk))] if prefixes else []
+        return self.library.encode(chunk, add_special_tokens=False).ids, self.odd_prefixes(chunk) if prefixes else []
+
+    # -- chunks with special strings or characters that normalize --------------
+
+    def odd_prefixes(self, chunk: str) -> list[int]:
+        """Token counts at every prefix of a chunk with special strings or characters that normalize, in one pass.
+
+        A special string counts once it is whole; until then its characters are ordinary text.
+        """
+        out: list[int] = []
+        begun = done = 0  # where the ordinary text began, and the tokens before it
+        for m in [*self.controls.finditer(chunk), None]:
+            stop = m.end() - 1 if m else len(chunk)
+            counts = self.normal_prefixes(chunk[begun:stop])
+            out += [done + c for c in counts]
+            if m:
+                before = m.start() - begun
+                done += (counts[before - 1] if before else 0) + 1
+                out.append(done)
+                begun = m.end()
+        return out
+
+    def normal_prefixes(self, text: str) -> list[int]:
+        """Token counts at every prefix of a text without white space or special strings.
+
+        Normalization works on pieces that nothing before them can join.  Where a prefix ends inside a piece and
+        normalizes to something that the whole does not begin with, that end is counted from the state before the piece.
+        """
+        pieces = [m.group() for m in stable_pieces().finditer(text)]
+        normal = [normalized(x) for x in pieces]
+        walks, places = [], []
+        for word in self.pattern.findall("".join(normal)):
+            walks.append(Walk(self, word))
+            places += [(len(walks) - 1, k) for k in range(len(word))]
+        firsts = [0]
+        for w in walks:
+            firsts.append(firsts[-1] + w.closed[-1])
+
+        def reached(at: int) -> int:
+            """Tokens of the first ``at`` normalized characters."""
+            if not at:
+                return 0
+            w, k = places[at - 1]
+            return firsts[w] + walks[w].closed[k]
+
+        out, at = [], 0
+        for piece, whole in zip(pieces, normal):
+            for k in range(1, len(piece) + 1):
+                part = whole if k == len(piece) else normalized(piece[:k])
+                if whole.startswith(part):
+                    out.append(reached(at + len(part)))
+                    continue
+                w, k = places[at] if at < len(places) else (len(walks), 0)
+                if k == 0 and w:  # the piece begins a word; without it the word before may go on
+                    w, k = w - 1, len(walks[w - 1].word)
+                context = walks[w].word[max(0, k - 64) : k] if walks else ""
+                words = self.pattern.findall(context + part)
+                if len(words[0]) > len(context):
+                    tokens = firsts[w] + walks[w].with_tail(k, words[0][len(context) :]) if context else Walk(self, words[0]).closed[-1]
+                else:
+                    tokens = reached(at)
+                out.append(tokens + sum(Walk(self, x).closed[-1] for x in words[1:]))
+            at += len(whole)
+        return out
 
     @staticmethod
     def is_latin(text: str) -> bool:
@@ -286,6 +350,71 @@ class WordBPE:
         return out.astype(np.uint32), chars
 
 
+class Walk:
+    """The dynamic program over one pre-token, kept so that other ends can be tried at any place."""
+
+    def __init__(self, bpe: WordBPE, word: str):
+        self.bpe, self.word = bpe, word
+        self.symbols = "".join(map(bpe.symbols.__getitem__, word.encode()))
+        n = len(self.symbols)
+        self.last, self.count = [""] * (n + 1), [0] * (n + 1)  # of the open prefix: its last token, its tokens
+        self.stops = [0]
+        for c in word:
+            self.stops.append(self.stops[-1] + len(c.encode()))
+        for j in range(1, n):
+            self.last[j], self.count[j] = self.open(self.symbols, 0, j, self.last, self.count)
+        self.closed = [self.close(self.symbols, 0, j, self.last, self.count) for j in self.stops[1:]]
+
+    def open(self, s: str, base: int, j: int, last: list[str], count: list[int]) -> tuple[str, int]:
+        """The last token and the tokens of the open prefix that ends at ``j``; ``base`` is what stands before ``s`` and its lists."""
+        vocab = self.bpe.vocab
+        for i in range(max(0, j - self.bpe.longest), j):
+            t = s[i:j]
+            if t in vocab and (base + i == 0 or last[i]) and self.bpe.compatible(last[i], t):
+                return t, count[i] + 1
+        return "", 0
+
+    def close(self, s: str, base: int, j: int, last: list[str], count: list[int]) -> int:
+        vocab = self.bpe.vocab
+        for i in range(j - 1, max(0, j - self.bpe.longest) - 1, -1):
+            t = s[i:j] + self.bpe.end
+            if t in vocab and (base + i == 0 or last[i]) and self.bpe.compatible(last[i], t):
+                return count[i] + 1
+        raise ValueError(f"no token closes {self.word[:40]!r} at {j}")
+
+    def with_tail(self, chars: int, tail: str) -> int:
+        """Tokens of the word's first ``chars`` characters followed by ``tail``."""
+        at = self.stops[chars]
+        base = max(0, at - self.bpe.longest)
+        s = self.symbols[base:at] + "".join(map(self.bpe.symbols.__getitem__, tail.encode()))
+        last, count = self.last[base : at + 1], self.count[base : at + 1]
+        if at == len(self.symbols) and at:  # the whole word was only closed, not left open
+            last[-1], count[-1] = self.open(s, base, at - base, last, count)
+        for j in range(at - base + 1, len(s)):
+            more = self.open(s, base, j, last, count)
+            last.append(more[0]), count.append(more[1])
+        return self.close(s, base, len(s), last, count)
+
+
+def normalized(text: str) -> str:
+    """NFC and lower case, each character by itself."""
+    return "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+
+
+@functools.lru_cache(maxsize=1)
+def stable_pieces() -> regex.Pattern:
+    """Finds pieces that begin with a character which joins nothing before it in NFC."""
+    joining = {0x1160 + k for k in range(1, 0x16)} | {0x11A7 + k for k in range(1, 0x1C)}  # vowels and tails of Hangul
+    for k in range(0x110000):
+        two = unicodedata.decomposition(chr(k)).split()
+        if unicodedata.combining(chr(k)):
+            joining.add(k)
+        if len(two) == 2 and not two[0].startswith("<"):
+            joining.add(int(two[1], 16))
+    some = "".join(f"\\U{k:08X}" for k in sorted(joining))
+    return regex.compile(f"(?s).[{some}]*")
+
+
 def buffer(data: array) -> np.ndarray:
     return np.frombuffer(data, np.uint32) if len(data) else np.empty(0, np.uint32)
 

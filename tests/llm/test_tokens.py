@@ -41,6 +41,23 @@ def test_counts_at_every_prefix(spark, library):
             assert fit == len(text) or (table[fit:] > b).all()
 
 
+def test_long_odd_chunks_take_one_pass(library):
+    """100,000 characters without white space, with special strings or decomposed letters: exact at sampled prefixes, in linear time."""
+    import time
+
+    rng = random.Random(6)
+    model = bpe.WordBPE(PATH)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    control = "".join(rng.choice(["the", "<|endoftext|>", "<|endof", "a1", "!!", "'re", "<|startoftext|>", "<|", "|>"]) for _ in range(25_000))
+    letters = "".join(rng.choice(["e\u0301", "a\u0300", "o\u0308\u0301", "x\u0302", "the", "'", "s", "7", "İ", "ΑΣ", "\u1100\u1161\u11a8", "Å"]) for _ in range(50_000))
+    for text in (control[:100_000], letters[:100_000]):
+        began = time.perf_counter()
+        counts = model.odd_prefixes(text)
+        assert time.perf_counter() - began < 60 and len(counts) == len(text)
+        for at in [*range(1, 60), *rng.sample(range(60, 3000), 60), len(text)]:
+            assert counts[at - 1] == count(text[:at]), text[max(0, at - 20) : at]
+
+
 def test_word_table_survives_forgetting(library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_CHUNKS", 20)
     import pyarrow as pa

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,5 +75,25 @@ def smallest_hashes(df: DataFrame, order: list[str], most: int) -> DataFrame:
     return df.orderBy(*order).limit(most)
 
 
+def constant(value: object, kind: str) -> Column:
+    """A nested literal; the optimizer reads it once."""
+    return F.from_json(F.lit(json.dumps({"v": value})), f"struct<v:{kind}>")["v"]
+
+
+def hashed(values: dict[str, object], kind: str, buckets: int) -> Column:
+    """A literal hash table for :func:`found`."""
+    rows: list[list[dict]] = [[] for _ in range(buckets)]
+    for g, v in values.items():
+        h = xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass"), seed=42)  # as Spark's xxhash64
+        rows[(h - (1 << 64) * (h >> 63)) % buckets].append({"g": g, "v": v})
+    return constant(rows, f"array<array<struct<g:string,v:{kind}>>>")
+
+
+def found(known: Column, key: Column, buckets: int) -> Column:
+    """What a :func:`hashed` table of so many buckets holds for ``key``, or null."""
+    bucket = F.get(known, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    return F.get(F.filter(bucket, lambda s: s["g"] == key), F.lit(0))["v"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

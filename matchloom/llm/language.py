@@ -24,8 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Training documents of each language at most, and the bytes a training document has at most.
-MAX_DOCS, MAX_DOC_BYTES = 400, 60_000
+from .common import broadcast_if_small
+
+#: Training documents of each language at most, and the bytes at which no more are taken; for all languages together.
+MAX_DOCS, MAX_BYTES, ALL_DOCS, ALL_BYTES = 4_000, 2 << 20, 400_000, 64 << 20
+#: Bytes of context.
+ORDER = 4
 #: Keys up to which a step's distinct ones are found by marking rather than sorting.
 MARKED = 1 << 25
 STEP_BYTES = 2 << 20
@@ -78,7 +82,7 @@ class Languages:
         return total
 
 
-def train(samples: list[tuple[str, str]], order: int = 2) -> Languages:
+def train(samples: list[tuple[str, str]], order: int = ORDER) -> Languages:
     """Build and freeze the context trees from (language, text) samples."""
     names = sorted({x for x, _ in samples})
     raw = {x: [] for x in names}
@@ -108,29 +112,39 @@ def train(samples: list[tuple[str, str]], order: int = 2) -> Languages:
     return model
 
 
-def fit(docs: DataFrame, usable: Column, *, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", order: int = 2, max_docs: int = MAX_DOCS) -> Languages:
-    """Train on at most ``max_docs`` documents of each language, those with the smallest hash of their id
-    among the usable ones of 200 to ``MAX_DOC_BYTES`` bytes (if a language has none of these, of any size up to it;
-    if all its texts are longer, on the shortest ones, whole, until they hold as many bytes as the others may)."""
-    size = F.octet_length(text_column)
+def fit(docs: DataFrame, usable: Column, *, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", order: int = ORDER, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Languages:
+    """Train on usable documents of each language, whole and of any length, in the order of their hashes: at most ``max_docs``,
+    and none after ``max_bytes`` bytes are reached.  With many languages each has an equal share of ``ALL_DOCS`` and ``ALL_BYTES``.
+    """
+    size = F.octet_length(F.col(text_column).cast("string"))
     rows = docs.where(usable & F.col(language_column).isNotNull() & (size > 0))
-    least = rows.groupBy(F.col(language_column).cast("string").alias("lang")).agg(F.min(size).alias("least")).where(F.col("least") > MAX_DOC_BYTES)
-    long = [r.lang for r in least.collect()]  # languages
-    rows = rows.where((size <= MAX_DOC_BYTES) | F.col(language_column).cast("string").isin(long))
-    rows = rows.select(F.col(language_column).cast("string").alias("lang"), (size < 200).alias("short"), F.greatest(size, F.lit(MAX_DOC_BYTES)).alias("size"), F.xxhash64(F.col(id_column)).alias("h"), F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"))
-    order_by = Window.partitionBy("lang").orderBy("short", "size", "h", "id", "text")
-    # A rank limit is applied before the shuffle as well, so no task gets a whole language.
-    top = rows.withColumn("rank", F.row_number().over(order_by)).where(F.col("rank") <= max_docs)
-    before = F.sum("size").over(Window.partitionBy("lang").orderBy("rank")) - F.col("size")
-    got = top.withColumn("before", before).where(F.col("before") < max_docs * MAX_DOC_BYTES).select("lang", "text").collect()
-    return train([(r.lang, r.text) for r in got], order)
+    rows = rows.select(F.col(language_column).cast("string").alias("lang"), size.alias("size"), F.xxhash64(F.col(id_column).cast("string"), F.col(text_column).cast("string")).alias("h"), F.col(text_column).cast("string").alias("text"))
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()  # languages
+    if not sums:
+        return train([], order)
+    max_docs, max_bytes = max(1, min(max_docs, ALL_DOCS // len(sums))), min(max_bytes, ALL_BYTES // len(sums))
+    slack = 4  # so many times as much as is wanted is put in order
+    while True:
+        share = {r.lang: min(1.0, slack * max(max_docs / r.n if r.n > max_docs and r.size < max_bytes * r.n / max_docs else max_bytes / r.size, 16 / r.n)) for r in sums}
+        bounds = docs.sparkSession.createDataFrame([(x, min(2**63 - 1, -(2**63) + int(2.0**64 * f))) for x, f in share.items()], "lang string, bound long")
+        few = rows.join(broadcast_if_small(bounds, len(sums), 64), "lang").where(F.col("h") <= F.col("bound"))
+        got = {r.lang: (r.n, r.size) for r in few.groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+        if all(got.get(r.lang, (0, 0))[0] in (r.n, *range(max_docs, r.n)) or got.get(r.lang, (0, 0))[1] >= max_bytes for r in sums):
+            break
+        slack *= 16
+    order_by = Window.partitionBy("lang").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = few.select("lang", "h", "size").withColumns({"before": F.coalesce(F.sum("size").over(order_by), F.lit(0)), "rank": F.count("*").over(order_by)})
+    chosen = ranked.where((F.col("before") < max_bytes) & (F.col("rank") < max_docs)).select("lang", "h", "size").distinct()  # at most ALL_DOCS
+    texts = rows.join(F.broadcast(chosen), ["lang", "h", "size"]).groupBy("lang", "h", "size").agg(F.first("text").alias("text")).collect()
+    return train(sorted((r.lang, r.text) for r in texts), order)
 
 
 def identify(docs: DataFrame, model: Languages, *, text_column: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``lang_score`` to whole rows of ``docs``, replacing columns of those names.
 
-    The score is the language's posterior with equal priors, from code lengths per
-    square root of the byte count, so that long texts do not all reach exactly 1.
+    The score is the language's posterior against the next one with equal priors, from code lengths per square root of the
+    byte count, so that long texts do not all reach exactly 1; it does not depend on how many languages there are.
+    Without a second language it is 1.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     mark = "_letters" + "_" * max(map(len, keep))  # no column of that name
@@ -152,8 +166,9 @@ def identify(docs: DataFrame, model: Languages, *, text_column: str = "text") ->
                 n = sizes[part]
                 bits = languages.lengths(np.frombuffer(b"".join(texts[part]), np.uint8), np.cumsum(n))
                 best[part] = bits.argmin(1)
-                gap = (bits - bits.min(1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None]
-                score[part] = 1.0 / np.exp2(-gap).sum(1)
+                first_two = np.partition(bits, min(1, bits.shape[1] - 1), axis=1)[:, :2]
+                gap = (first_two[:, 1] - first_two[:, 0]) / np.sqrt(np.maximum(n, 1)) if bits.shape[1] > 1 else np.full(len(n), np.inf)
+                score[part] = 1.0 / (1.0 + np.exp2(-gap))
                 first = last
             letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             best, score = np.where(letters, best, len(languages.names)), np.where(letters, score, 0.0)

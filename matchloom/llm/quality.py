@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import smallest_hashes, staged, unstage
 from .gbt import Trees, train
 
 #: Labelled rows that training takes at most, those with the smallest hash of their id.
@@ -83,11 +83,14 @@ def with_statistics(df: DataFrame, id_column: str, text_column: str) -> DataFram
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", most: int = MAX_LABELLED) -> Trees:
     """Train on at most ``most`` labelled rows whose id satisfies ``usable`` (an expression over the id)."""
     chosen = labels.where(usable & F.col(label_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(most)
-    chosen = staged(chosen.repartition(1), "quality-labels")
+    chosen = smallest_hashes(chosen.select(F.xxhash64("id", "y").alias("h"), "id", "y"), ["h", "id", "y"], most)
+    chosen = staged(chosen.select("id", "y"), "quality-labels")
     # At most ``most`` ids, a documented bound, so the broadcast is safe.
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id")
-    got = with_statistics(rows.select("id", "text", "y"), "id", "text").join(F.broadcast(chosen), "id").limit(4 * most).collect()
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen.select("id").distinct()), "id")
+    # Of documents with one id the one counts whose packed statistics come first.
+    known = staged(with_statistics(rows, "id", "text").groupBy("id").agg(F.min("x").alias("x")), "quality-samples")
+    got = known.join(F.broadcast(chosen), "id").collect()  # at most ``most``
+    unstage(chosen, known)
     got.sort(key=lambda r: (r.id, r.y, r.x))
     x = np.array([np.frombuffer(r.x) for r in got]).reshape(len(got), len(FEATURES))
     return train(x, np.array([r.y for r in got], np.float64))

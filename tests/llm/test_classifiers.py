@@ -212,3 +212,91 @@ def test_language_order_does_not_depend_on_size(spark):
     df = spark.createDataFrame([(1, "the cat sat " * 30, "en"), (2, "der hund lief " * 6000, "de")], "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in language.identify(df, language.fit(df, F.lit(True))).collect()}
     assert got == {1: "en", 2: "de"}
+
+
+def url_features(url, host, path, suffixes):
+    """The features of one url, plainly."""
+    n = max(1, len(url))
+    query = re.search(r"\?([^#]*)", url)
+    query = query[1] if query else ""
+    labels = host.split(".")
+    rate, count = suffixes.get(labels[-1], (0.5, 0.0))
+    digits = lambda x: sum(c in "0123456789" for c in x)
+    values = {
+        "length": len(url), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "labels": len(labels), "longest_label": max(map(len, labels)), "digits": digits(url) / n,
+        "host_digits": digits(host), "hyphens": host.count("-"), "parameters": query.count("&") + 1 if query else 0, "query_length": len(query), "fragment": "#" in url,
+        "entropy": -sum(p * np.log2(p) for p in (url.count(c) / n for c in set(url))), "tail_length": len(path.rpartition("/")[2]), "suffix_length": len(labels[-1]), "suffix_rate": rate, "suffix_count": count, "https": url.startswith("https"),
+    }
+    return [float(values[k]) for k in url_filter.FEATURES]
+
+
+def test_url_trees_against_plain_version(spark):
+    """Every url's score and verdict, from features counted in Python and trees walked in numpy; empty, long and repeated urls too."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 50_000), (-4, "http://a.com/en/" + "y1-" * 20_000), (-5, "http://a.com/?a=1&b=2#c"), (-5, "http://a.com/?a=1&b=2#c")], "page_id long, url string")
+    df = pages.unionByName(odd)
+    p = url_filter.parts(F.col("url"))
+    slim = df.select(p["url"].alias("_url"), p["host"].alias("_host"), p["path"].alias("_path"))
+    model = url_filter.fit(slim.withColumn("_rule", url_filter.matching_rule(F.col("_host"), F.col("_path"), RULES)), RULES)
+    urls = {r.page_id: r.url or "" for r in df.collect()}
+    got = url_filter.filter_urls(df, RULES).collect()
+    assert len(got) == df.count()
+    x = np.array([url_features(urls[r.page_id], r.host, r.path, model.suffixes) for r in got])
+    want = model.trees.score(x)
+    assert np.allclose([r.score for r in got], want)
+    assert all(r.verdict == ("block" if s >= 0.5 else "allow") for r, s in zip(got, want) if r.rule is None)
+    empty = url_filter.filter_urls(df.where("false"), RULES)
+    assert empty.collect() == [] and "verdict" in empty.columns
+
+
+def test_url_trees_learn_a_held_out_rule(spark):
+    """Trees trained on other hosts of a blocked path pattern judge the hosts that no rule names."""
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    good = [f"https://{name()}.com/{name()}/{name()}" for _ in range(400)]
+    bad = [f"http://{name()}-{rng.randrange(10**6)}.xyz/{'/'.join(name() for _ in range(6))}?a={rng.randrange(10**9)}&b=1&c=2" for _ in range(400)]
+    rules = [url_filter.Rule(u.split("/")[2], "/", "allow") for u in good[:150]] + [url_filter.Rule(u.split("/")[2], "/", "block") for u in bad[:150]]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(df, rules).collect()}
+    fresh = [k for k in got if got[k].decided_by == "trees"]
+    assert len(fresh) >= 480 and np.mean([got[k].verdict == ("block" if k >= 400 else "allow") for k in fresh]) > 0.95
+
+
+def test_quality_against_plain_version(spark):
+    """Scores and labels of every row from statistics and trees evaluated one row and node at a time; long, empty and repeated rows too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "word 1, " * 60_000), (-4, "a"), (-4, "a")], "doc_id long, text string"))
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))
+
+    def walk(x):
+        total = model.base
+        for node in model.roots.tolist():
+            while model.feature[node] >= 0:
+                node = int(model.left[node]) + int(x[model.feature[node]] > model.threshold[node])
+            total += model.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    texts = docs.collect()
+    want = sorted((r.doc_id, round(walk(quality.statistics(r.text or "")), 9)) for r in texts)
+    got = sorted((r.doc_id, round(r.quality_score, 9)) for r in quality.score(docs, model).collect())
+    assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
+    assert quality.score(docs.where("false"), quality.fit(docs.where("false"), spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))).collect() == []
+
+
+def test_language_labels_against_plain_version(spark):
+    """Labels and scores from code lengths computed text by text; ties go to the first language, repeated and long texts included."""
+    rng = random.Random(5)
+    train = [(k, " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat"] if k % 2 else ["der", "hund", "lief", "und", "aß", "brot"]) for _ in range(40)), "en" if k % 2 else "de") for k in range(20)]
+    rows = train + [(100, "the hund cat", None), (100, "the hund cat", None), (101, "ß" * 30_000, None), (102, "", None), (103, "日本", None), (104, "q", "en")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, _letters int")
+    model = language.fit(df.where("doc_id < 100"), F.lit(True))
+    got = language.identify(df, model).collect()
+    assert len(got) == len(rows) and got[0]["_letters"] == 0
+    for r in got:
+        raw = r.text.encode()
+        if not re.search(r"[^\W\d_]", r.text):
+            assert (r.lang_pred, r.lang_score) == ("und", 0.0)
+            continue
+        bits = model.lengths(np.frombuffer(raw, np.uint8), np.array([len(raw)]))[0]
+        assert r.lang_pred == model.names[int(bits.argmin())]
+        assert r.lang_score == pytest.approx(1 / (1 + 2.0 ** (-abs(bits[0] - bits[1]) / np.sqrt(len(raw)))))

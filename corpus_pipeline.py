@@ -18,8 +18,8 @@ from matchloom.llm.queries import tokenizer_path
 
 #: Documents below this quality score go.
 QUALITY_FROM = 0.7
-#: Documents whose language is unknown or whose posterior is hardly above chance go; short clean texts stay.
-LANGUAGE_FROM = 0.3
+#: Documents whose language is unknown or hardly likelier than the next one go; short clean texts stay.
+LANGUAGE_FROM = 0.55
 
 
 def judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], keep: Column, added: tuple[str, ...]) -> DataFrame:

@@ -29,7 +29,7 @@ MAX_WORDS = 50_000
 #: Stands for the word end in the rank-merging encoder; no UTF-8 text has this byte.
 END_BYTE = b"\xff"
 #: Text bytes encoded in one numpy step.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 #: White space as the tokenizer's pattern has it.
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 

@@ -32,7 +32,7 @@ MAX_DOCS, MAX_BYTES, ALL_DOCS, ALL_BYTES = 4_000, 2 << 20, 400_000, 64 << 20
 ORDER = 4
 #: Keys up to which a step's distinct ones are found by marking rather than sorting.
 MARKED = 1 << 25
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 @dataclass
@@ -57,14 +57,17 @@ class Languages:
     def lengths(self, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Code lengths in bits, [text, language], of the texts that end at ``cuts`` in ``raw``."""
         starts = np.append(0, cuts[:-1])
-        code = self.symbol[raw].astype(np.int64)
-        key, begun = code.copy(), self.symbol[10]
-        place = np.arange(len(raw)) - np.repeat(starts, cuts - starts)
+        code, begun = self.symbol[raw], self.symbol[10]
+        key = code.astype(np.int64)
         for k in range(1, self.order + 1):
             past = np.full(len(raw), begun, np.int64)
             past[k:] = code[:-k] if k < len(raw) else code[:0]
-            past[place < k] = begun  # before a text stand line ends
-            key += past * self.width**k
+            for j in range(min(k, len(raw))):  # before a text stand line ends
+                at = starts + j
+                past[at[at < cuts]] = begun
+            past *= self.width**k
+            key += past
+        del past, code
         size = self.width ** (self.order + 1)
         if size <= MARKED:
             mark = np.zeros(size, bool)
@@ -74,7 +77,12 @@ class Languages:
             number[kinds] = np.arange(len(kinds), dtype=np.int32)
             key = number[key]
         else:
-            kinds, key = np.unique(key, return_inverse=True)
+            order = np.argsort(key)
+            kinds = key[order]
+            fresh = np.append(True, kinds[1:] != kinds[:-1])
+            key[order] = np.cumsum(fresh) - 1
+            kinds = kinds[fresh]
+            del order, fresh
         total = np.zeros((len(cuts), len(self.names)))
         for j in range(len(self.names)):
             run = np.append(0.0, np.cumsum(self.bits(j, kinds)[key]))
@@ -156,15 +164,17 @@ def identify(docs: DataFrame, model: Languages, *, text_column: str = "text") ->
         languages = shared.value
         names = pa.array([*languages.names, "und"])
         for batch in batches:
-            texts = pc.fill_null(batch.column(at).cast(pa.string()), "").cast(pa.binary()).to_pylist()
-            sizes = np.array([len(t) for t in texts], np.int64)
-            best, score = np.full(len(texts), len(languages.names)), np.zeros(len(texts))
+            texts = batch.column(at)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            stops = np.cumsum(sizes)
+            best, score = np.full(len(sizes), len(languages.names)), np.zeros(len(sizes))
             first = 0
-            while first < len(texts) and languages.names:
-                last = first + max(1, int(np.searchsorted(np.cumsum(sizes[first:]), STEP_BYTES, "right")))
+            while first < len(sizes) and languages.names:
+                last = first + max(1, int(np.searchsorted(stops[first:], stops[first] - sizes[first] + STEP_BYTES, "right")))
                 part = slice(first, last)
                 n = sizes[part]
-                bits = languages.lengths(np.frombuffer(b"".join(texts[part]), np.uint8), np.cumsum(n))
+                raw = b"".join(x for x in texts.slice(first, last - first).cast(pa.binary()).to_pylist() if x)
+                bits = languages.lengths(np.frombuffer(raw, np.uint8), np.cumsum(n))
                 best[part] = bits.argmin(1)
                 first_two = np.partition(bits, min(1, bits.shape[1] - 1), axis=1)[:, :2]
                 gap = (first_two[:, 1] - first_two[:, 0]) / np.sqrt(np.maximum(n, 1)) if bits.shape[1] > 1 else np.full(len(n), np.inf)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import smallest_hashes, staged, unstage
+from .common import rows_of, smallest_hashes, staged, unstage
 from .gbt import Trees, train
 
 #: Labelled rows that training takes at most, those with the smallest hash of their id.
@@ -74,7 +74,7 @@ def with_statistics(df: DataFrame, id_column: str, text_column: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t or "") for t in batch.column(1).to_pylist()], np.float64)
+            x = np.array([statistics(t or "") for _, t in rows_of(batch)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "x"])
 
     return slim.mapInArrow(run, f"id {kind}, x binary")
@@ -104,7 +104,7 @@ def score(docs: DataFrame, model: Trees, *, id_column: str = "doc_id", text_colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t or "") for t in batch.column(at).cast(pa.string()).to_pylist()], np.float64).reshape(batch.num_rows, len(FEATURES))
+            x = np.array([statistics(t or "") for (t,) in rows_of(batch.select([at]))], np.float64).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*keep, "quality_score"])
 
     return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("quality_score", T.DoubleType())]))

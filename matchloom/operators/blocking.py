@@ -1,12 +1,19 @@
 """Candidate pairs: country blocking, blocking score, per-source top-k.
 
 The country test reads two country strings only, so it is made once for each pair of
-distinct countries; records then meet by equi-joins on country rather than by a nested loop.
-Token, gram and digit sets are made once per record.
+distinct countries; records then meet by country rather than in a nested loop.  Token, gram
+and digit sets are made once per record, as 64-bit hashes.  The records of two countries are
+dealt into blocks, and two blocks are scored in one task: the sizes of all intersections are
+products of 0/1 matrices over the elements that both blocks hold.  So a country with a third
+of all records is many tasks, and of a block's pairs only the ``k`` best of each record leave.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +21,8 @@ from ..functions import text as X
 
 DIGIT_BONUS = 0.15
 PROFILE = ("name_tokens", "addr_tokens", "name_grams", "addr_grams", "digits")
+#: Records of the two sides in a block, and elements of a matrix product at once.
+LEFT_BLOCK, RIGHT_BLOCK, WIDTH = 1024, 2048, 2048
 
 
 def country_key(country: Column) -> Column:
@@ -49,26 +58,108 @@ def all_targets(*targets: DataFrame) -> DataFrame:
     return known.where(F.col("grp").isNotNull()) if has_prefix else known.withColumn("grp", F.lit("all"))
 
 
-def country_pairs(s1: DataFrame, targets: DataFrame) -> DataFrame:
-    """Compatible pairs of distinct countries (c1, c2, grp).  Countries are few next to records."""
-    a = s1.select(F.col("ckey").alias("c1")).distinct()
-    b = targets.select(F.col("ckey").alias("c2"), "grp").distinct()
-    return a.join(b, country_compatible(F.col("c1"), F.col("c2")))
+def routes_of(s1: DataFrame, targets: DataFrame, block_by_country: bool = True) -> DataFrame:
+    """Pairs of countries whose records meet (c1, c2, grp), with the fallback: a country that fits no target country of
+    a group meets the whole group."""
+    groups = targets.select(F.col("ckey").alias("c2"), "grp").distinct()
+    countries = s1.select(F.col("ckey").alias("c1")).distinct()
+    if not block_by_country:
+        return countries.join(groups, F.lit(True))  # distinct countries, not records
+    fit = countries.join(groups, country_compatible(F.col("c1"), F.col("c2")))
+    alone = countries.join(groups.select("grp").distinct(), F.lit(True)).join(fit.select("c1", "grp").distinct(), ["c1", "grp"], "left_anti")
+    return fit.select("c1", "c2", "grp").unionByName(alone.join(groups, "grp").select("c1", "c2", "grp"))
 
 
 def blocked_pairs(s1: DataFrame, targets: DataFrame, block_by_country: bool = True) -> DataFrame:
-    """Pairs (l, r, grp) of profiled records that blocking lets through, with the fallback: an S1
-    record whose country fits no target of a group is paired with the whole group."""
+    """Pairs (l, r, grp) of profiled records that blocking lets through, whole records side by side."""
     l = s1.select("ckey", F.struct(*[c for c in s1.columns if c != "ckey"]).alias("l"))
     r = targets.select(F.col("ckey").alias("c2"), "grp", F.struct(*[c for c in targets.columns if c not in ("ckey", "grp")]).alias("r"))
-    groups = targets.select("grp").distinct()
-    if not block_by_country:
-        return l.crossJoin(r).select("l", "r", "grp")
-    fit = country_pairs(s1, targets)
-    alone = s1.select(F.col("ckey").alias("c1")).distinct().crossJoin(groups).join(fit.select("c1", "grp").distinct(), ["c1", "grp"], "left_anti")
-    every = alone.join(targets.select(F.col("ckey").alias("c2"), "grp").distinct(), "grp").select("c1", "c2", "grp")
-    routes = fit.select("c1", "c2", "grp").unionByName(every)
-    return l.join(routes, F.col("ckey") == F.col("c1")).join(r, ["c2", "grp"]).select("l", "r", "grp")
+    return l.join(routes_of(s1, targets, block_by_country), F.col("ckey") == F.col("c1")).join(r, ["c2", "grp"]).select("l", "r", "grp")
+
+
+SCORED = "s1_id string, target_id string, grp string, score double, l_ord long, r_ord long"
+
+
+def scored_pairs(s1: DataFrame, targets: DataFrame, k: int | None = None, block_by_country: bool = True) -> DataFrame:
+    """Blocking scores of all pairs that blocking lets through; with ``k`` at least the best ``k`` of each S1 record and group."""
+    routes = routes_of(s1, targets, block_by_country)
+    left_blocks = s1.groupBy(F.col("ckey").alias("c1")).agg(F.ceil(F.count("*") / LEFT_BLOCK).cast("int").alias("nl"))
+    right_blocks = targets.groupBy(F.col("ckey").alias("c2"), "grp").agg(F.ceil(F.count("*") / RIGHT_BLOCK).cast("int").alias("nr"))
+    routes = routes.join(left_blocks, "c1").join(right_blocks, ["c2", "grp"])
+    sets = [F.transform(c, lambda t: F.xxhash64(t)).alias(f"s{i}") for i, c in enumerate(PROFILE)]
+    own = lambda n: F.pmod("h", F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    record = [F.col("entity_id").alias("id"), F.col("ord").cast("long").alias("ord"), F.xxhash64("entity_id", "ord").alias("h")]
+    l = s1.select(F.col("ckey").alias("c1"), *record, *sets).join(routes, "c1").withColumn("lb", own("nl")).withColumn("rb", every("nr")).withColumn("side", F.lit(0))
+    r = targets.select(F.col("ckey").alias("c2"), "grp", *record, *sets).join(routes, ["c2", "grp"]).withColumn("rb", own("nr")).withColumn("lb", every("nl")).withColumn("side", F.lit(1))
+    unit = ["grp", "c1", "c2", "lb", "rb"]
+    columns = [*unit, "side", "id", "ord", *(f"s{i}" for i in range(len(PROFILE)))]
+    rows = l.select(columns).unionByName(r.select(columns)).repartition(*unit).sortWithinPartitions(*unit, "side", F.col("ord").asc_nulls_last(), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(unit)))))
+            at = 0
+            while at < len(keys):
+                stop = at + 1
+                while stop < len(keys) and keys[stop] == keys[at]:
+                    stop += 1
+                if keys[at] != now:
+                    if held:
+                        yield from block_scores(now[0], pa.Table.from_batches(held), k)
+                    held, now = [], keys[at]
+                held.append(batch.slice(at, stop - at))
+                at = stop
+        if held:
+            yield from block_scores(now[0], pa.Table.from_batches(held), k)
+
+    return rows.mapInArrow(run, SCORED)
+
+
+def block_scores(group: str, rows: pa.Table, k: int | None) -> Iterator[pa.RecordBatch]:
+    """Scores between the two sides of ``rows``; targets stand in the order that breaks ties."""
+    rows = rows.combine_chunks()
+    side = rows.column("side").to_numpy()
+    n = int((side == 0).sum())
+    m = len(side) - n
+    if not n or not m:
+        return
+    score = np.zeros((n, m))
+    for i, _ in enumerate(PROFILE):
+        lists = rows.column(f"s{i}").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = np.diff(lists.offsets.to_numpy())
+        owner, value = np.repeat(np.arange(n + m), sizes), lists.flatten().to_numpy(zero_copy_only=False)
+        common = shared(owner, value, n, m)
+        if i < 4:
+            union = sizes[:n, None] + sizes[None, n:] - common
+            np.maximum(score, common / np.maximum(union, 1), out=score)
+        else:
+            score += np.where(common > 0, DIGIT_BONUS, 0.0)
+    ids, ords = rows.column("id").combine_chunks(), rows.column("ord").combine_chunks()
+    step = max(1, 200_000 // min(m, k or m))
+    for at in range(0, n, step):
+        part = score[at : at + step]
+        p = np.repeat(np.arange(len(part)), min(m, k or m))
+        q = np.argsort(-part, axis=1, kind="stable")[:, :k].ravel() if k and k < m else np.tile(np.arange(m), len(part))
+        left, right = pa.array(p + at), pa.array(q + n)
+        yield pa.RecordBatch.from_arrays([ids.take(left), ids.take(right), pa.array([group] * len(p), pa.string()), pa.array(part[p, q]), ords.take(left), ords.take(right)], ["s1_id", "target_id", "grp", "score", "l_ord", "r_ord"])
+
+
+def shared(owner: np.ndarray, value: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``n`` sets with the ``m`` others."""
+    first = owner < n
+    both = np.intersect1d(value[first], value[~first])
+    out = np.zeros((n, m), np.float32)
+    for low in range(0, len(both), WIDTH):
+        some = both[low : low + WIDTH]
+        at = np.minimum(np.searchsorted(some, value), len(some) - 1)
+        hit = some[at] == value
+        matrix = np.zeros((n + m, len(some)), np.float32)
+        matrix[owner[hit], at[hit]] = 1.0
+        out += matrix[:n] @ matrix[n:].T
+    return out.astype(np.int64)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -86,11 +177,11 @@ def generate_candidates(s1: DataFrame, *targets: DataFrame, k: int = 50, block_b
     """
     k = k or 50
     left, right = profiled(s1), profiled(all_targets(*targets))
-    pairs = blocked_pairs(left, right, block_by_country) if mode == "exact" else indexed_pairs(left, right, block_by_country)
+    if mode == "exact":
+        return ranked(scored_pairs(left, right, k, block_by_country), k)
+    pairs = indexed_pairs(left, right, block_by_country)
     scored = pairs.select(F.col("l.entity_id").alias("s1_id"), F.col("r.entity_id").alias("target_id"), "grp", blocking_score("l", "r").alias("score"), F.col("l.ord").alias("l_ord"), F.col("r.ord").alias("r_ord"))
-    if mode != "exact":
-        scored = scored.where("score > 0")
-    return ranked(scored, k)
+    return ranked(scored.where("score > 0"), k)
 
 
 def index_keys() -> Column:
@@ -101,15 +192,12 @@ def index_keys() -> Column:
 
 
 def indexed_pairs(s1: DataFrame, targets: DataFrame, block_by_country: bool) -> DataFrame:
-    """Pairs that share an index key; keys are salted on the target side by adaptive skew handling."""
+    """Pairs that share an index key; large keys are split by adaptive skew handling only."""
     a = s1.select(F.col("entity_id").alias("i"), F.col("ord").alias("io"), F.col("ckey").alias("c1"), F.explode(index_keys()).alias("key"))
     b = targets.select(F.col("entity_id").alias("j"), F.col("ord").alias("jo"), F.col("ckey").alias("c2"), "grp", F.explode(index_keys()).alias("key"))
     ids = a.join(b, "key")
     if block_by_country:
-        fit = country_pairs(s1, targets)
-        alone = s1.select(F.col("ckey").alias("c1")).distinct().crossJoin(targets.select("grp").distinct()).join(fit.select("c1", "grp").distinct(), ["c1", "grp"], "left_anti")
-        routes = fit.select("c1", "c2", "grp").unionByName(alone.join(targets.select(F.col("ckey").alias("c2"), "grp").distinct(), "grp").select("c1", "c2", "grp"))
-        ids = ids.join(routes, ["c1", "c2", "grp"], "left_semi")
+        ids = ids.join(routes_of(s1, targets), ["c1", "c2", "grp"], "left_semi")
     ids = ids.select("i", "io", "j", "jo", "grp").distinct()
     l = s1.select(F.struct(*[c for c in s1.columns if c != "ckey"]).alias("l"))
     r = targets.select(F.struct(*[c for c in targets.columns if c not in ("ckey", "grp")]).alias("r"))

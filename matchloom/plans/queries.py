@@ -217,8 +217,7 @@ def h1_topk_indexed(spark, sf):
 @query(f"{O.BASE} SELECT grp, count(*) AS n_pairs, round(sum(score), 4) AS sum_score, round(max(score), 6) AS max_score FROM pairs GROUP BY 1")
 def j1_block_score(spark, sf):
     s1, t = V.sides(spark, sf)
-    pairs = blocking.blocked_pairs(blocking.profiled(s1), blocking.profiled(blocking.all_targets(t)))
-    scored = pairs.select("grp", blocking.blocking_score("l", "r").alias("score"))
+    scored = blocking.scored_pairs(blocking.profiled(s1), blocking.profiled(blocking.all_targets(t)))
     return scored.groupBy("grp").agg(F.count("*").alias("n_pairs"), F.round(F.sum("score"), 4).alias("sum_score"), F.round(F.max("score"), 6).alias("max_score"))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -60,6 +63,22 @@ def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tokenizes: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a worker process that other operators have used and will use: word tables of the tokenizer go before
+    it unless it ``tokenizes``, and memory that it has freed goes back to the system after it."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = sys.modules.get("matchloom.llm.bpe")
+        if tokenizer is not None and not tokenizes:
+            tokenizer.model.cache_clear()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def smallest_hashes(df: DataFrame, order: list[str], most: int) -> DataFrame:
     """The ``most`` rows of ``df`` that come first by ``order``, whose first column is a 64-bit hash.
 

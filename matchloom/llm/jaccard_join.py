@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, rows_of, staged, unstage
+from .common import broadcast_if_small, rows_of, staged, tidy, unstage
 from .components import components
 
 #: Sets compared in one tree; larger meetings are cut into blocks of this size.
@@ -112,7 +112,7 @@ def repeated(docs: DataFrame, n: int) -> np.ndarray:
                     size = 0
         yield flush()
 
-    counts = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= IN_ALL)
+    counts = docs.select("text").mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= IN_ALL)
     counts = staged(counts, "repeated")
     levels = {r.level: r.n for r in counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("n")).collect()}  # at most 64 rows
     least, total = 64, 0
@@ -147,7 +147,7 @@ def sets_table(docs: DataFrame, mask: np.ndarray, num: int, den: int, n: int) ->
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(short, pa.int64()), listed], ["id", "text_hash", "n", "digest", "short", "prefix"])
 
-    return docs.mapInArrow(run, "id long, text_hash long, n long, digest binary, short long, prefix array<long>")
+    return docs.mapInArrow(tidy(run), "id long, text_hash long, n long, digest binary, short long, prefix array<long>")
 
 
 def bitmap(s: np.ndarray, share: int = 1, each: int = BITS_EACH) -> bytes:
@@ -174,7 +174,7 @@ def of_documents(docs: DataFrame, chosen: DataFrame, size: int, n: int, made: di
                         out[x].append(make(s))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(v, pa.binary()) for v in out.values())], ["k", *out])
 
-    found = rows.select("c.k", "c.digest", "d.text").mapInArrow(run, "k long, " + ", ".join(f"{x} binary" for x in made))
+    found = rows.select("c.k", "c.digest", "d.text").mapInArrow(tidy(run), "k long, " + ", ".join(f"{x} binary" for x in made))
     return found.dropDuplicates(["k"])  # equal rows make it twice
 
 
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, n: int, sets: DataFrame, num: int, den: int) -> D
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 class Tree:
@@ -378,7 +378,7 @@ def met(rows: DataFrame, keys: list[str], num: int, den: int, mode: str) -> Data
         yield flush()
 
     ordered = rows.select(*keys, "side", "k", "n", "label", "data").repartition(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(tidy(run), "a long, b long")
 
 
 class Links:

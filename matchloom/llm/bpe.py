@@ -22,14 +22,14 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks in one worker's table; beyond it, those used once only are forgotten.
-MAX_CHUNKS = 500_000
+#: Chunks in one worker's table, with prefix counts and with ids alone; beyond it, those used once only are forgotten.
+MAX_CHUNKS, MAX_ID_CHUNKS = 500_000, 350_000
 #: Pre-tokens kept besides, for chunks that differ in punctuation alone.
 MAX_WORDS = 50_000
 #: Stands for the word end in the rank-merging encoder; no UTF-8 text has this byte.
 END_BYTE = b"\xff"
 #: Text bytes encoded in one numpy step.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: White space as the tokenizer's pattern has it.
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
@@ -45,8 +45,6 @@ class WordBPE:
     """A lower-casing, white-space-dropping BPE model with word ends, read from its tokenizer file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -54,7 +52,7 @@ class WordBPE:
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in splits] != ["Split", "ByteLevel"] or not model.get("end_of_word_suffix"):
             raise ValueError(f"{path}: not a lower-casing BPE with word ends")
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
@@ -69,6 +67,13 @@ class WordBPE:
         self.token_of_id = {i: t for t, i in self.vocab.items()}
         self.ranked, self.id_of_rank = self.rank_encoder()
 
+    @functools.cached_property
+    def library(self):
+        """The library's own tokenizer, loaded when an odd chunk first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def rank_encoder(self):
         """A fast encoder that merges by rank alone; what it proposes is checked pair by pair."""
         import tiktoken
@@ -268,8 +273,8 @@ class WordBPE:
             self.ids, self.counts = array("I"), array("I")
             self.id_at, self.count_at = array("q", [0]), array("q", [0])
             self.used = np.zeros(0, np.int64)
-        elif len(self.index) > MAX_CHUNKS:
-            keep = np.flatnonzero(self.used[: len(self.index)] > 1)[: MAX_CHUNKS // 2]
+        elif len(self.index) > (most := MAX_CHUNKS if prefixes else MAX_ID_CHUNKS):
+            keep = np.flatnonzero(self.used[: len(self.index)] > 1)[: most // 2]
             names = list(self.index)
             self.index = {names[r]: k for k, r in enumerate(keep)}
             for data, at in (("ids", "id_at"), ("counts", "count_at")):

@@ -63,6 +63,18 @@ def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns))
 
 
+#: Rows of an Arrow batch at most where texts go to Python workers; Spark's own 10,000 rows of texts take hundreds of MB in each task.
+TEXT_ROWS = 1_000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``TEXT_ROWS`` rows (a smaller setting stays)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(key, TEXT_ROWS)
+    return df
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tokenizes: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for a worker process that other operators have used and will use: word tables of the tokenizer go before
     it unless it ``tokenizes``, and memory that it has freed goes back to the system after it."""

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, rows_of, staged, tidy, unstage
+from .common import broadcast_if_small, rows_of, staged, text_batches, tidy, unstage
 from .components import components
 
 #: Sets compared in one tree; larger meetings are cut into blocks of this size.
@@ -460,7 +460,7 @@ def all_seats(rows: DataFrame) -> DataFrame:
 def jaccard_components(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (the smallest id it reaches by links of Jaccard similarity
     at least ``num / den`` over word n-grams of ``words`` words), ``text_hash`` and ``component_key`` (null where a document stands alone)."""
-    docs = df.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"), F.col(text_column).cast("string").alias("text"))
+    docs = text_batches(df).select(F.col(id_column).cast("long").alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"), F.col(text_column).cast("string").alias("text"))
     base = staged(sets_table(docs, repeated(docs, words), num, den, words), "sets")
     slim = staged(base.select("id", "text_hash", "n", "digest"), "set-ids")
     first = F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash")))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, tidy
+from .common import broadcast_if_small, text_batches, tidy
 
 #: Training documents of each language at most, and the bytes at which no more are taken; for all languages together.
 MAX_DOCS, MAX_BYTES, ALL_DOCS, ALL_BYTES = 4_000, 2 << 20, 400_000, 64 << 20
@@ -185,4 +185,4 @@ def identify(docs: DataFrame, model: Languages, *, text_column: str = "text") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], names.take(pa.array(best)), pa.array(score)], [*keep, "lang_pred", "lang_score"])
 
     fields = [*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
-    return slim.mapInArrow(tidy(run), T.StructType(fields))
+    return text_batches(slim).mapInArrow(tidy(run), T.StructType(fields))

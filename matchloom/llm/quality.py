@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, smallest_hashes, staged, tidy, unstage
+from .common import rows_of, smallest_hashes, staged, text_batches, tidy, unstage
 from .gbt import Trees, train
 
 #: Labelled rows that training takes at most, those with the smallest hash of their id.
@@ -77,7 +77,7 @@ def with_statistics(df: DataFrame, id_column: str, text_column: str) -> DataFram
             x = np.array([statistics(t or "") for _, t in rows_of(batch)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "x"])
 
-    return slim.mapInArrow(tidy(run), f"id {kind}, x binary")
+    return text_batches(slim).mapInArrow(tidy(run), f"id {kind}, x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", most: int = MAX_LABELLED) -> Trees:
@@ -107,4 +107,4 @@ def score(docs: DataFrame, model: Trees, *, id_column: str = "doc_id", text_colu
             x = np.array([statistics(t or "") for (t,) in rows_of(batch.select([at]))], np.float64).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*keep, "quality_score"])
 
-    return slim.mapInArrow(tidy(run), T.StructType([*slim.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return text_batches(slim).mapInArrow(tidy(run), T.StructType([*slim.schema.fields, T.StructField("quality_score", T.DoubleType())]))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import tidy
+from .common import text_batches, tidy
 
 
 def count_tokens(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_column: str = "text", budgets: Sequence[int] = (2048,), keep_prefixes: bool = False) -> DataFrame:
@@ -56,7 +56,7 @@ def count_tokens(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", te
                     columns.append(pa.array([c.tobytes() for c in np.split(counts.astype("<u4"), stops[:-1])], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return slim.mapInArrow(tidy(run, tokenizes=True), T.StructType(fields))
+    return text_batches(slim).mapInArrow(tidy(run, tokenizes=True), T.StructType(fields))
 
 
 def tokens_before(prefix_counts: bytes, chars: int) -> int:

@@ -24,6 +24,8 @@ MARKS = {0x01: ".N", 0x02: "M", 0x03: "H", 0x3D: ".a", 0x50: "OM", 0x60: "RRI",
 VIRAMA = 0x4D
 # Letters that differ in one script.
 EXCEPTIONS = {("TAMIL", 0x15): "gh"}
+# Scripts that the dataset report names.
+KNOWN = ("LATIN", *BLOCKS)
 INDIC = "[\\x{900}-\\x{D7F}" + "".join(EXTRA.values()) + "]"
 
 

@@ -33,6 +33,16 @@ def language_counts(df: DataFrame, least: float = 0.6) -> DataFrame:
     return value_counts(rows, "lang")
 
 
+def dataset_report(df: DataFrame, per_file: int = 3000, seed: int = 42) -> DataFrame:
+    """Counts (kind, value, n) over the rows of a tree scan: all rows and files, then countries of all rows, and known
+    scripts of at most ``per_file`` sampled rows of each file."""
+    total = df.agg(F.count("*").alias("n")).select(F.lit("records").alias("kind"), F.lit("").alias("value"), "n")
+    files = df.groupBy("file").agg(F.count("*").alias("n")).select(F.lit("file").alias("kind"), F.col("file").alias("value"), "n")
+    countries = value_counts(df.where(F.trim("country") != ""), "country").select(F.lit("country").alias("kind"), "value", "n")
+    some = script_counts(sampled(df, per_file, seed)).where(F.col("value").isin(*S.KNOWN)).select(F.lit("script").alias("kind"), "value", "n")
+    return total.unionByName(files).unionByName(countries).unionByName(some)
+
+
 def matched_scripts(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """True pairs whose two records exist, with their script sets and main scripts.  Only records in pairs are scanned."""
     wanted = pairs.select(F.col("s1_id").alias("entity_id")).unionByName(pairs.select(F.col("target_id").alias("entity_id"))).distinct()

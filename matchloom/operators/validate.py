@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -85,24 +86,37 @@ def not_candidates(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     return m.join(c, ["s1", "item"], "left_anti").select(F.col("s1").alias("item")).distinct()
 
 
+def with_line_numbers(lines: DataFrame) -> DataFrame:
+    """Add ``line``, from 1, to numbered lines: the place within the split, after the lines of all splits before it."""
+    split = F.shiftright("ord", 33)
+    counts = lines.groupBy(split.alias("split")).agg(F.count("*").alias("n"))  # a row for each split
+    before = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("split", before.alias("before")))  # splits are few next to lines
+    place = F.col("ord").bitwiseAND((1 << 33) - 1)
+    return lines.withColumn("split", split).join(starts, "split").withColumn("line", F.col("before") + place + 1).drop("split", "before")
+
+
 def file_findings(spark: SparkSession, path: str, expected: str, required: DataFrame, targets: DataFrame | None) -> tuple[list[DataFrame], DataFrame | None]:
     """Findings of one file, and its rows if it could be read as a table."""
     if not exists(spark, path):
         return [note(spark, "V2", f"missing: {path}")], None
-    raw = spark.read.format("binaryFile").load(path).select("length").first()
-    if not raw or not raw.length:
-        return [note(spark, "V3", f"empty: {path}")], None
-    lines = numbered(spark.read.text(path))
-    if not lines.where(F.contains("value", F.lit("�"))).isEmpty():
-        return [note(spark, "V17", f"not UTF-8: {path}")], None
+    try:
+        raw = spark.read.format("binaryFile").load(path).select("length").first()
+        if not raw or not raw.length:
+            return [note(spark, "V3", f"empty: {path}")], None
+        lines = numbered(spark.read.text(path))
+        # Lines are cut at bytes, so the test is on a line's own bytes; a U+FFFD that the file holds is valid.
+        if not spark.read.option("encoding", "ISO-8859-1").csv(path, sep="\n", quote="", schema="value string").where(~F.is_valid_utf8(F.encode("value", "ISO-8859-1").cast("string"))).isEmpty():
+            return [note(spark, "V17", f"not UTF-8: {path}")], None
+    except Py4JJavaError as error:  # the file can't be read
+        return [note(spark, "V17", f"unreadable: {path}: {str(error.java_exception)[:200]}")], None
     head = lines.orderBy("ord").limit(1).collect()[0]
     first = head.value.rstrip("\r")
     if "\t" not in first and "," in first:
         return [note(spark, "V4", "comma-separated header")], None
     if [c.strip().lower() for c in first.split("\t")] != expected.split("\t"):
         return [note(spark, "V5", f"header {first!r}, expected {expected!r}")], None
-    # Line numbers are exact while a file is one split; beyond it they count within splits.
-    body = lines.where(F.col("ord") != F.lit(head.ord)).withColumns({"value": F.rtrim(F.col("value"), F.lit("\r")), "line": F.col("ord") + 1})
+    body = with_line_numbers(lines).where(F.col("ord") != F.lit(head.ord)).withColumn("value", F.rtrim(F.col("value"), F.lit("\r")))
     rows = id_rows(body)
     rules = [("V6", malformed(body)), ("V7", duplicate_rows(rows)), ("V8", repeated_ids(rows)), ("V9", self_matches(rows)), ("V10", bad_prefixes(rows)), ("V12", missing_rows(rows, required)), ("V13", extra_rows(rows, required))]
     if targets is not None:

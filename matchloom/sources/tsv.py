@@ -40,10 +40,21 @@ def load_tsv(spark: SparkSession, path: str) -> DataFrame:
     """
     if not exists(spark, path):
         raise FileNotFoundError(f"no such file: {path}")
-    names = [c.strip('"') for c in header(spark, path)]
+    return rows_of_header(spark, [path], header(spark, path))
+
+
+def open_quotes(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether any line has a field whose quote is not closed on it."""
+    inside = F.regexp_replace(F.regexp_replace("value", '(^|\t)"([^"]|"")*"(?=\t|$)', ""), "\r$", "")
+    return not spark.read.text(paths).where(F.contains("value", F.lit('"')) & inside.rlike('(^|\t)"')).isEmpty()
+
+
+def rows_of_header(spark: SparkSession, paths: list[str], head: list[str]) -> DataFrame:
+    """The rows of files with one header.  Files are split among tasks unless a quoted field runs over lines."""
+    names = [c.strip('"') for c in head]
     spare = "_surplus"
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, spare]])
-    raw = spark.read.csv(path, sep="\t", header=True, schema=schema, quote='"', escape='"', multiLine=True, enforceSchema=True, mode="PERMISSIVE")
+    raw = spark.read.csv(paths, sep="\t", header=True, schema=schema, quote='"', escape='"', multiLine=open_quotes(spark, paths), enforceSchema=True, mode="PERMISSIVE")
     return raw.where(F.col(spare).isNull()).select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
 
 
@@ -99,11 +110,34 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_tree(spark: SparkSession, folder: str, columns: tuple[str, ...] = REQUIRED) -> DataFrame:
-    """Every ``*.tsv`` below a folder but ground-truth files, with its ``file`` path."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tsv")
-    df = reader.csv(folder, sep="\t", header=True, quote='"', escape='"', inferSchema=False)
-    picked = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
-    return df.select(F.col("_metadata.file_path").alias("file"), *picked).where(~F.contains(F.substring_index("file", "/", -1), F.lit("ground_truth")))
+    """Every ``*.tsv`` below a folder but those with ``ground_truth`` in their path, with its ``file`` path.
+
+    Each file goes by its own header; columns that it lacks are empty.  Files with one header are one scan.
+    """
+    paths = [x for x in list_tree(spark, folder) if x.endswith(".tsv") and "ground_truth" not in x]
+    heads: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        heads.setdefault(tuple(header(spark, path)), []).append(path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("file", *columns)])
+    out = spark.createDataFrame([], schema)
+    for head, files in heads.items():
+        if not head:
+            continue
+        names = [c.strip('"') for c in head]
+        own = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_surplus"]])
+        raw = spark.read.csv(files, sep="\t", header=True, schema=own, quote='"', escape='"', multiLine=open_quotes(spark, files), enforceSchema=True, mode="PERMISSIVE")
+        picked = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in names else F.lit("").alias(c) for c in columns]
+        out = out.unionByName(raw.where(F.col("_surplus").isNull()).select(F.col("_metadata.file_path").alias("file"), *picked))
+    return out
+
+
+def list_tree(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of all files below a folder, sorted."""
+    p, fs = fs_of(spark, folder)
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        found.append(files.next().getPath().toString())
+    return sorted(found)
 
 
 def load_config(path: str) -> dict:

@@ -40,7 +40,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that nothing lazy reads any more."""
     for df in tables:
-        path = getattr(df, "_staged_path", None)
+        path = getattr(df, "_staged_path", None)  # also None for None
         if path:
             jvm = df.sparkSession._jvm  # noqa: SLF001
             p = jvm.org.apache.hadoop.fs.Path(path)

@@ -13,7 +13,8 @@ depend on list lengths.
 
 Cosines are taken in double precision.  Vectors that are null, zero, or hold null or
 non-finite components link with nothing and are their own component.  Equal vectors form one
-class and link with each other.  Vectors of different lengths do not link.
+class and link with each other, whatever their ids; different vectors of one id stay apart.
+Vectors of different lengths do not link.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, staged, unstage
+from .common import broadcast_if_small, smallest_hashes, staged, unstage
 from .components import components
 
 #: Vectors compared at once; orders at first; neighbours kept at first and at most; refinements at most.
@@ -174,7 +175,7 @@ def audit(rows: DataFrame, threshold: float, sample: int = AUDITED) -> float:
     total = rows.count()
     large = {r.label for r in rows.groupBy("label").count().where(F.col("count") > max(1, total // 100)).select("label").collect()}  # at most 100 rows
     while True:
-        chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # at most MOST_AUDITED vectors
+        chosen = smallest_hashes(rows.select(F.xxhash64("id").alias("h"), "id", "label", "v"), ["h", "id"], sample).collect()  # at most MOST_AUDITED vectors
         ids, label = np.array([r.id for r in chosen], np.int64), np.array([r.label for r in chosen], np.int64)
         raw = spark.sparkContext.broadcast([bytes(r.v) for r in chosen])
 
@@ -328,7 +329,9 @@ def neighbour_components(df: DataFrame, *, id_column: str = "vec_id", vector_col
     spark = df.sparkSession
     floor = threshold - margin
     rows = staged(packed(df.select(F.col(id_column).cast("long").alias("id"), vector_column), vector_column), "vectors")
-    reps = staged(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "v", "weight"), "vector-classes")
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
+    # Classes go by numbers of their own, as several may begin with one id.
+    reps = staged(classes.select(F.monotonically_increasing_id().alias("id"), "first", "v", "weight"), "vector-classes")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     lists = limits = None
     seeds = list(range(ORDERS))
@@ -362,9 +365,12 @@ def neighbour_components(df: DataFrame, *, id_column: str = "vec_id", vector_col
         seeds = list(range(max(seeds) + 1, max(seeds) + 1 + 2 * len(seeds)))
     grouped = labels.join(reps, F.col("node") == F.col("id")).select(F.col("label").alias("c"), "id", "v", "weight")
     links = staged(complete(grouped, threshold), "vector-links")
-    named = reps.select("id", "v", "weight").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").join(links, "id", "left")
-    named = staged(named.select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "id").alias("component_id")), "vector-named")
-    unstage(lists, links)
-    out = rows.join(named, "v", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    named = reps.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").join(links, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    smallest = staged(named.groupBy("label").agg(F.min("first").alias("component_id")), "vector-smallest")
+    named = named.join(broadcast_if_small(smallest, smallest.count(), 16), "label")
+    named = staged(named.select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"), "vector-named")
+    size = named.agg(F.coalesce(F.sum(F.octet_length("v") + 32), F.lit(0))).first()[0]
+    unstage(lists, links, limits, labels, smallest, reps)
+    none = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))  # by themselves, so that they meet in no task
+    out = rows.join(broadcast_if_small(named, size, 1), "v").select("id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(none)
+    return out.select(F.col("id").alias(id_column), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

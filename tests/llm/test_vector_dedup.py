@@ -75,3 +75,12 @@ def test_audit_sees_small_groups_beside_a_large_one(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbour_components(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()}
     want = brute(table)
     assert np.mean([got[k] == want[k] for k in want if k >= 160]) >= 0.98
+
+
+def test_repeated_ids(spark):
+    """Equal rows link with each other; different vectors of one id stay apart; null ids take part."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.02]), (None, [0.0, -1.0]), (3, None), (4, [0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, id int")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in neighbour_components(df).collect())
+    assert got == sorted([("1", 2, "1", True)] * 2 + [("2", 0, "2", True), ("2", 2, "1", False), ("None", 0, "None", False), ("3", 0, "3", True), ("4", 0, "4", True)])
+    assert neighbour_components(df.where("false")).collect() == []

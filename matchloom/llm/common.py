@@ -67,11 +67,11 @@ def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
 TEXT_ROWS = 1_000
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches held to ``TEXT_ROWS`` rows (a smaller setting stays)."""
+def text_batches(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``rows`` rows (a smaller setting stays)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_ROWS:
-        df.sparkSession.conf.set(key, TEXT_ROWS)
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, rows)
     return df
 
 

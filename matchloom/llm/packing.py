@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import broadcast_if_small, staged, text_batches, tidy
+from .common import TEXT_ROWS, broadcast_if_small, staged, text_batches, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -62,7 +62,7 @@ def tokenize(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_c
                     ["doc_id", "source", "task", "first", "n", "ids"],
                 )
 
-    return text_batches(slim).mapInArrow(tidy(run, tokenizes=True), "doc_id long, source string, task int, first long, n long, ids binary")
+    return text_batches(slim, 5 * TEXT_ROWS).mapInArrow(tidy(run, tokenizes=True), "doc_id long, source string, task int, first long, n long, ids binary")
 
 
 def pack(df: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:

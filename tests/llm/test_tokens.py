@@ -60,7 +60,6 @@ def test_long_odd_chunks_take_one_pass(library):
 
 def test_word_table_survives_forgetting(library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_CHUNKS", 20)
-    monkeypatch.setattr(bpe, "MAX_ID_CHUNKS", 20)
     import pyarrow as pa
 
     model = bpe.WordBPE(PATH)

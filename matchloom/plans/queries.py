@@ -90,9 +90,11 @@ def b2_candidate_list(spark, sf):
 # -- text ------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '\\s+', ' ', 'g')) AS normalized FROM documents")
+# Full-width letters and ligatures stand before each text: compatibility forms that NFKC folds and NFC keeps.
+@query("SELECT doc_id, trim(regexp_replace(lower(nfc_normalize('Acme fi 12 ' || text)), '\\s+', ' ', 'g')) AS normalized FROM documents")
 def c3_normalize(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", X.normalize(F.col("text")).alias("normalized"))
+    folds = F.concat(F.lit("\uff21\uff43\uff4d\uff45\u3000\ufb01 \uff11\u00b2 "), F.col("text"))
+    return V.table(spark, sf, "documents").select("doc_id", X.normalize(folds).alias("normalized"))
 
 
 # Texts with their scripts and transliterations.
@@ -329,7 +331,7 @@ def l4_pair_intersect(spark, sf):
 # key: customer of the order; list: part ids of its lines, some doubled, some with odd prefixes.
 
 ROWS = "rows_ AS (SELECT 'S1-' || (o_custkey % 700) AS s1, list(CASE WHEN l_linenumber = 7 THEN 'S1-' WHEN l_linenumber = 6 THEN 'X' ELSE 'S' || (l_partkey % 2 + 2) || '-' END || (l_partkey % 40) ORDER BY l_linenumber, l_partkey) AS ids, o_orderkey AS ord FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey)"
-REQUIRED = "req AS (SELECT 'S1-' || c_custkey AS entity_id FROM customer)"
+REQUIRED = "req AS (SELECT 'S1-' || c_custkey AS entity_id FROM customer WHERE c_custkey % 9 <> 0)"
 
 
 def file_rows(spark, sf):
@@ -340,7 +342,7 @@ def file_rows(spark, sf):
 
 
 def required_ids(spark, sf):
-    return V.table(spark, sf, "customer").select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("entity_id"))
+    return V.table(spark, sf, "customer").where("c_custkey % 9 <> 0").select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("entity_id"))
 
 
 def rule(name: str, make, sql: str) -> None:
@@ -376,9 +378,110 @@ def g10_missing_extra(spark, sf):
     return validate.missing_rows(rows, req).agg(F.count("*").alias("n_missing")).crossJoin(validate.extra_rows(rows, req).agg(F.count("*").alias("n_extra")))
 
 
-@query(f"{O.BASE} SELECT s1_id FROM (SELECT s1_id, target_id FROM truth EXCEPT SELECT s1_id, target_id FROM cand) GROUP BY 1")
+@query(f"{O.BASE} SELECT s1_id FROM (SELECT s1_id, target_id FROM cand EXCEPT SELECT s1_id, target_id FROM truth) GROUP BY 1")
 def g11_subset(spark, sf):
-    return V.truth(spark, sf).join(V.candidates(spark, sf, K), ["s1_id", "target_id"], "left_anti").select("s1_id").distinct()
+    """S1 records whose candidates are not all true."""
+    return V.candidates(spark, sf, K).join(V.truth(spark, sf), ["s1_id", "target_id"], "left_anti").select("s1_id").distinct()
+
+
+# -- files: the record view written as TSV files and read back -----------------------------
+
+
+def written(spark, sf, tag: str) -> str:
+    """A folder in the shared store with the three sources, and a ground truth, of the record view."""
+    from ..sources.store import fresh_folder
+
+    folder = fresh_folder(spark, tag)
+    rec = V.records(spark, sf)
+    for n in "123":
+        own = rec.where(F.col("source") == f"source{n}").select("entity_id", "business_name", "business_address", "country", "ord")
+        sinks.write_tsv(own, f"{folder}/train/train_source{n}.tsv")
+    truth = sinks.match_lists(rec.where("source = 'source1'"), V.truth(spark, sf))
+    sinks.write_tsv(truth, f"{folder}/train/train_ground_truth.tsv")
+    return folder
+
+
+def counted(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("entity_id")), ",")).alias("ids_md5"))
+
+
+COUNTED = "count(*) AS n, md5(string_agg(entity_id, ',' ORDER BY entity_id)) AS ids_md5"
+
+
+@query(f"WITH {O.records()} SELECT entity_id, business_name, business_address, country FROM rec WHERE source = 'source1'")
+def a1_tsv_scan(spark, sf):
+    return tsv.load_tsv(spark, f"{written(spark, sf, 'a1')}/train/train_source1.tsv")
+
+
+@query(f"WITH {O.records()} SELECT source, {COUNTED} FROM rec GROUP BY 1")
+def a4_split_scan(spark, sf):
+    tables = tsv.load_all_sources(spark, written(spark, sf, "a4"))
+    return counted(tables["source1"].unionByName(tables["source2"]).unionByName(tables["source3"]), "source")
+
+
+@query(f"WITH {O.records()} SELECT source, {COUNTED} FROM rec GROUP BY 1")
+def a7_three_sources(spark, sf):
+    """Files found by prefix in a split folder (A5), typed records (A6), three sources (A7)."""
+    a, b, c = tsv.DatasetLoader(spark, f"{written(spark, sf, 'a7')}/train").load_sources()
+    return counted(a.unionByName(b).unionByName(c), "source")
+
+
+@query(f"WITH {O.records()}, {O.TRUTH}, t AS (SELECT DISTINCT s1_id, target_id FROM truth) SELECT entity_id AS s1_id, (SELECT coalesce(string_agg(target_id, ',' ORDER BY target_id), '') FROM t WHERE s1_id = entity_id AND target_id LIKE 'S2-%') AS s2, (SELECT coalesce(string_agg(target_id, ',' ORDER BY target_id), '') FROM t WHERE s1_id = entity_id AND target_id LIKE 'S3-%') AS s3 FROM rec WHERE source = 'source1'")
+def a3_ground_truth_file(spark, sf):
+    gt = tsv.DatasetLoader(spark, f"{written(spark, sf, 'a3')}/train").load_ground_truth()
+    return gt.select("s1_id", F.array_join("s2", ",").alias("s2"), F.array_join("s3", ",").alias("s3"))
+
+
+@query(f"WITH {O.records()}, {O.TRUTH} SELECT DISTINCT s1_id, target_id FROM truth")
+def d8_truth_pairs(spark, sf):
+    """Ground truth exploded to pairs (D8, D9), lists joined (L2, C15)."""
+    return tsv.truth_pairs(tsv.DatasetLoader(spark, f"{written(spark, sf, 'd8')}/train").load_ground_truth())
+
+
+@query(f"WITH {O.records()} SELECT source, {COUNTED} FROM rec GROUP BY 1")
+def a12_tree_scan(spark, sf):
+    """A tree of files with their columns in different orders; the ground truth is left out."""
+    folder = written(spark, sf, "a12")
+    other = V.records(spark, sf).where("source = 'source2'").select("country", "entity_id", "business_address", "business_name", "ord")
+    sinks.write_tsv(other, f"{folder}/train/train_source2.tsv")
+    rows = tsv.scan_tree(spark, folder)
+    return counted(rows.withColumn("source", source_of_start(F.col("entity_id"))), "source")
+
+
+@query(f"WITH {O.records()} SELECT entity_id FROM rec WHERE source = 'source3'")
+def a13_id_scan(spark, sf):
+    return tsv.read_ids(spark, f"{written(spark, sf, 'a13')}/train/train_source3.tsv")
+
+
+@query(f"WITH {O.records()}, c AS (SELECT country AS value, count(*) AS n FROM rec GROUP BY 1) SELECT 'records' AS kind, '' AS value, count(*) AS n FROM rec UNION ALL SELECT 'country', value, n FROM c UNION ALL SELECT 'script', 'LATIN', count(*) FROM rec")
+def i9_dataset_report(spark, sf):
+    """Records, countries and scripts of a tree (I8, I9, H7, F9); every file holds fewer rows than are sampled."""
+    out = profile.dataset_report(tsv.scan_tree(spark, written(spark, sf, "i9")), per_file=100_000)
+    return out.where("kind <> 'file'")
+
+
+SUBMISSION_ERRORS = """WITH rec AS (SELECT 'S' || (p_partkey % 3 + 1) || '-' || p_partkey AS entity_id, p_partkey AS ord FROM part), s1 AS (SELECT * FROM rec WHERE entity_id LIKE 'S1-%'),
+miss AS (SELECT entity_id AS item FROM s1 WHERE ord % 10 = 0), self AS (SELECT entity_id AS item FROM s1 WHERE ord % 7 = 0 AND ord % 10 <> 0), unknown AS (SELECT 'S3-0' AS item WHERE EXISTS (SELECT 1 FROM s1 WHERE ord % 10 <> 0))
+SELECT 'V12' AS rule, 'error' AS severity, (SELECT count(*) FROM miss) AS n, (SELECT string_agg(item, ',' ORDER BY item) FROM (SELECT item FROM miss ORDER BY item LIMIT 5)) AS examples
+UNION ALL SELECT 'V9', 'error', (SELECT count(*) FROM self), (SELECT string_agg(item, ',' ORDER BY item) FROM (SELECT item FROM self ORDER BY item LIMIT 5))
+UNION ALL SELECT 'V11', 'error', count(*), max(item) FROM unknown UNION ALL SELECT 'V6', 'error', 1, 'line ' || ((SELECT count(*) FROM s1 WHERE ord % 10 <> 0) + 3) UNION ALL SELECT 'V13', 'error', 1, 'S1-extra' UNION ALL SELECT 'V14', 'warning', 1, 'no candidate file; skipped'"""
+
+
+@query(SUBMISSION_ERRORS)
+def v_submission(spark, sf):
+    """The whole validator over files with missing rows, ids of source 1, an unknown id, an extra row and a line without a tab."""
+    from ..sources.store import fresh_folder
+
+    folder = fresh_folder(spark, "submission")
+    rec = V.records(spark, sf)
+    for n in "123":
+        sinks.write_tsv(rec.where(F.col("source") == f"source{n}").select("entity_id", "business_name", "ord"), f"{folder}/test_source{n}.tsv")
+    rows = rec.where("source = 'source1' and ord % 10 <> 0").select("entity_id", F.when(F.col("ord") % 7 == 0, F.concat(F.col("entity_id"), F.lit(",S3-0"))).otherwise("S3-0").alias("ids"), F.col("ord").alias("at"))
+    more = spark.createDataFrame([("S1-extra", "S3-0", -1), ("no tab here", None, 2**60)], "entity_id string, ids string, at long")
+    lines = rows.unionByName(more).select(F.when(F.col("ids").isNull(), F.col("entity_id")).otherwise(F.concat_ws("\t", "entity_id", "ids")).alias("source1_entity_id\tmatched_entity_ids"), "at")
+    lines.coalesce(1).sortWithinPartitions("at").drop("at").write.csv(f"{folder}/matching", header=True, quote="", escape="", sep="\u0001", emptyValue="")
+    found = validate.validate(spark, f"{folder}/matching", f"{folder}/none.tsv", folder, check_ids=True)
+    return found.select("rule", "severity", "n", F.array_join("examples", ",").alias("examples"))
 
 
 # -- end to end ---------------------------------------------------------------------------------

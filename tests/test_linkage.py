@@ -195,3 +195,46 @@ def test_match_stream(spark, tmp_path):
     match_stream(arrivals, s1, matching.EntityMatcher(0.5), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     found = {(r.s1_id, r.target_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert found == {("S1-1", "S2-1")}
+
+
+def test_tree_by_header_and_open_quotes(spark, tmp_path):
+    """Files with other column orders, missing columns and quoted line ends; ground truth anywhere in the path is left out."""
+    from matchloom.sources import tsv
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "ground_truth").mkdir()
+    (tmp_path / "a" / "x.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tname1\taddr1\tUS\n")
+    (tmp_path / "a" / "y.tsv").write_text("country\tbusiness_name\tentity_id\nIN\t\"two\nlines\"\tS2-1\n")
+    (tmp_path / "ground_truth" / "z.tsv").write_text("entity_id\nS9-9\n")
+    rows = sorted((r.entity_id, r.business_name, r.business_address, r.country) for r in tsv.scan_tree(spark, str(tmp_path)).collect())
+    assert rows == [("S1-1", "name1", "addr1", "US"), ("S2-1", "two\nlines", "", "IN")]
+
+
+def test_validator_bytes_and_lines(spark, tmp_path):
+    """A replacement character is valid UTF-8, a Latin-1 byte is not; line numbers go on over splits; a broken checkpoint is passed over."""
+    import warnings
+
+    from pyspark.sql import functions as F
+
+    from matchloom.operators import matching, validate
+    from matchloom.sources import tsv
+
+    required = spark.createDataFrame([("S1-1",)], "entity_id string")
+    (tmp_path / "good.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-\ufffd\n", encoding="utf-8")
+    (tmp_path / "bad.tsv").write_bytes(b"source1_entity_id\tmatched_entity_ids\nS1-1\tS2-\xe9\n")
+    rules = lambda name: [r.rule for f in validate.file_findings(spark, str(tmp_path / name), validate.MATCH_HEADER, required, None)[0] for r in f.collect()]
+    assert rules("good.tsv") == [] and rules("bad.tsv") == ["V17"]
+    text = tmp_path / "many.txt"
+    text.write_text("".join(f"row {k} {'x' * 50}\n" for k in range(1, 20_001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    try:
+        lines = validate.with_line_numbers(tsv.numbered(spark.read.text(str(text))))
+        assert lines.rdd.getNumPartitions() > 1 or lines.count() == 20_000
+        assert lines.where(F.split("value", " ")[1].cast("long") != F.col("line")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "model" / "matcher").mkdir(parents=True)
+    (tmp_path / "model" / "matcher" / "part-0").write_text("not json")
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        assert matching.EntityMatcher.load(spark, str(tmp_path / "model")) is None and said

@@ -338,20 +338,11 @@ class WordBPE:
         before = np.append(begun, totals.sum())[firsts]
         chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         solid = ~white(texts)
-        out = np.zeros(len(solid), np.int64)
-        at = np.repeat(begun, lens) + within
-        # Between chunks the count stands at what the last chunk reached.
-        out[solid] = at
-        seen = np.cumsum(solid)
-        gaps = np.flatnonzero(~solid)
-        owner = np.repeat(np.arange(len(chars)), chars)
-        out -= before[owner] * solid
-        if len(gaps):
-            prior = seen[gaps] - 1
-            doc_solid = np.append(0, np.cumsum(np.bincount(owner, solid, len(chars)).astype(np.int64)))
-            fresh = prior < doc_solid[owner[gaps]]
-            done = np.append(at, 0)[prior] - before[owner[gaps]]
-            out[gaps] = np.where(fresh, 0, done)
+        at = np.repeat(begun.astype(np.int32), lens) + within.astype(np.int32)
+        # Between chunks the count stands at what the last chunk reached; before a text's first one that is what stood before the text.
+        seen = np.cumsum(solid, dtype=np.int32) - 1
+        out = np.append(at, np.int32(0))[seen] - np.repeat(before.astype(np.int32), chars)
+        np.maximum(out, 0, out=out)
         return out.astype(np.uint32), chars
 
 

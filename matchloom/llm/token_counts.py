@@ -45,12 +45,12 @@ def count_tokens(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", te
                 stops = np.cumsum(chars)
                 total = np.where(chars > 0, np.append(counts, 0)[stops - 1], 0).astype(np.int64)
                 columns = [part.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(total)]
-                owner = np.repeat(np.arange(len(chars)), chars) if limits else None
                 for b in limits:
                     # Counts may fall by one when a letter completes a longer token, so take the last fit.
-                    fit = np.flatnonzero(counts <= b)
-                    end = np.zeros(len(chars), np.int64)
-                    end[owner[fit]] = fit + 1 - (stops - chars)[owner[fit]]
+                    end = chars.astype(np.int64)
+                    for i in np.flatnonzero(total > b):
+                        fit = np.flatnonzero(counts[stops[i] - chars[i] : stops[i]] <= b)
+                        end[i] = fit[-1] + 1 if len(fit) else 0
                     columns.append(pa.array(end))
                 if keep_prefixes:
                     columns.append(pa.array([c.tobytes() for c in np.split(counts.astype("<u4"), stops[:-1])], pa.binary()))

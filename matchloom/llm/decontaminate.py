@@ -80,12 +80,13 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
 
     # 1. Documents that share a kept hash, and the hashes they share.
     window = span - k + 1
-    marks = [long_items.select(F.lit(k).alias("gram"), F.explode(grams(F.col("w"), k)).alias("h"))]
+    long_grams = staged(long_items.select(grams(F.col("w"), k).alias("g")), "bench-grams")
+    marks = [long_grams.select(F.lit(k).alias("gram"), F.explode(winnowed(F.col("g"), window)).alias("h"))]
     marks += [short_items.where(F.size("w") == n).select(F.lit(n).alias("gram"), F.explode(grams(F.col("w"), n)).alias("h")) for n in lengths]
     marks_all = marks[0]
     for m in marks[1:]:
         marks_all = marks_all.unionByName(m)
-    # Item k-grams are all kept: a document's smallest hash in a shared span is then always among them.
+    # A shared span has the same k-grams on both sides, so both keep the hash that is smallest in it.
     bench = staged(marks_all.distinct(), "bench-marks")
     n_marks = bench.count()
     w = words(F.col("text"))

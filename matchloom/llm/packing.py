@@ -20,13 +20,15 @@ columns are read, so extra columns cannot clash.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -65,22 +67,29 @@ def tokenize(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_c
     return text_batches(slim, 5 * TEXT_ROWS).mapInArrow(tidy(run, tokenizes=True), "doc_id long, source string, task int, first long, n long, ids binary")
 
 
-def pack(df: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", mixture: Mapping[str | None, float] | None = None) -> DataFrame:
     """Pack whole documents into sequences of ``length`` tokens; one row per piece.
 
     ``start`` is the piece's first id in its document, ``sequence_id`` and ``offset`` its
-    place.  Sequence ids run from 0 without gaps.
+    place.  Sequence ids run from 0 without gaps.  ``mixture`` gives sources (None: the null
+    source) their weights, of which at least one is above 0; sources of the table that it does
+    not name, or names with 0, follow when all others are dry.
     """
     spark = df.sparkSession
+    weights = [] if mixture is None else sorted(set(mixture.values()))
+    if mixture is not None and not (weights and weights[0] >= 0 and 0 < weights[-1] < math.inf):
+        raise ValueError("a mixture needs finite weights, none below 0 and one above")
     tokens = staged(tokenize(df, tokenizer, id_column=id_column, text_column=text_column, source_column=source_column, end_id=end_id), "pack-tokens")
     runs = staged(tokens.groupBy("source", "task").agg(F.sum("n").alias("n")), "pack-runs")  # one row for each task and source
     queues = staged(runs.groupBy("source").agg(F.sum("n").alias("total")), "pack-queues")
     # A queue's place is told by its total and its number among the queues of that total, so tasks hold one row for each total.
-    totals = sorted((r.total, r["count"]) for r in queues.groupBy("total").count().collect())  # k different totals take k * k / 2 tokens
-    sizes, counts = [n for n, _ in totals], [c for _, c in totals]
-    listed = spark.createDataFrame([(n, k) for k, n in enumerate(sizes)], "total long, queue_no long")
-    number = F.row_number().over(Window.partitionBy("total").orderBy("source")) - 1
-    queues = queues.withColumn("rank", number.cast("long")).join(broadcast_if_small(listed, len(sizes), 16), "total")
+    queues = queues.withColumn("weight_no", weight_numbers(F.col("source"), mixture or {}, weights))
+    totals = sorted((r.total, r.weight_no, r["count"]) for r in queues.groupBy("total", "weight_no").count().collect())  # k different totals take k * k / 2 tokens
+    sizes, counts = [n for n, _, _ in totals], [c for _, _, c in totals]
+    shares = None if mixture is None else [weights[w] if w >= 0 else 0 for _, w, _ in totals]
+    listed = spark.createDataFrame([(n, w, k) for k, (n, w, _) in enumerate(totals)], "total long, weight_no int, queue_no long")
+    number = F.row_number().over(Window.partitionBy("total", "weight_no").orderBy("source")) - 1
+    queues = queues.withColumn("rank", number.cast("long")).join(broadcast_if_small(listed, len(sizes), 20), ["total", "weight_no"])
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = runs.withColumn("base", before).alias("r").join(queues.alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")))
     bases = staged(bases.select("r.source", "r.task", "q.queue_no", "q.rank", "r.base"), "pack-bases")
@@ -88,7 +97,7 @@ def pack(df: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int = 1,
     placed = placed.select("t.doc_id", "t.source", "b.queue_no", (F.col("b.base") + F.col("t.first")).alias("at"), "t.n", "t.ids", "b.rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Rounds(sizes, length, counts)
+        plan = Epochs(sizes, length, counts, shares)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 yield pieces(plan, batch.slice(k, 256), length)
@@ -96,6 +105,47 @@ def pack(df: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int = 1,
     return placed.mapInArrow(tidy(run, tokenizes=True), PIECES)
 
 
+def weight_numbers(source: Column, mixture: Mapping[str | None, float], weights: list[float]) -> Column:
+    """The place of a source's weight in ``weights``; -1 where the mixture does not name the source."""
+    number = F.lit(-1)
+    for name, weight in mixture.items():
+        number = F.when(source.eqNullSafe(F.lit(name)), weights.index(weight)).otherwise(number)
+    return number.cast("int")
+
+
+class Epochs:
+    """The rounds up to where a queue runs dry, then those of the queues left, and so on; ``weights`` as ``sizes``, None for the queues' own mix."""
+
+    def __init__(self, sizes: list[int], length: int, counts: list[int], weights: list[float] | None = None):
+        shares = [Fraction(w) for w in (sizes if weights is None else weights)]
+        dry = sorted({Fraction(n) / w for n, w in zip(sizes, shares) if w and n})
+        sent = [0] * len(sizes)
+        self.plans = []  # queues' numbers in the epoch, what they sent before, what they send in it, tokens before it, its rounds
+        before = 0
+        for level in [*dry, None]:  # last the queues without a weight
+            upto = [n if level is None or w and n <= w * level else math.floor(w * level) for n, w in zip(sizes, shares)]
+            live = [j for j in range(len(sizes)) if upto[j] > sent[j]]
+            if not live:
+                continue
+            number = np.full(len(sizes), -1)
+            number[live] = np.arange(len(live))
+            part = [b - a for a, b in zip(sent, upto)]
+            self.plans.append((number, np.array(sent, np.int64), np.array(part, np.int64), before, Rounds([part[j] for j in live], length, [counts[j] for j in live])))
+            before += sum(n * c for n, c in zip(part, counts))
+            sent = upto
+
+    def segments(self, queue: np.ndarray, at: np.ndarray, n: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cut runs of tokens by epoch and round: owner, first token in the run, tokens, and position in the stream."""
+        found = []
+        for number, sent, part, before, plan in self.plans:
+            low, high = np.maximum(at, sent[queue]), np.minimum(at + n, (sent + part)[queue])
+            rows = np.flatnonzero(high > low)
+            if len(rows):
+                owner, start, size, place = plan.segments(number[queue[rows]], (low - sent[queue])[rows], (high - low)[rows], rank[rows])
+                found.append((rows[owner], start + (low - at)[rows][owner], size, place + before))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+
 class Rounds:
     """Where the round-robin puts each token of each queue; ``counts`` tells how many queues share a size."""
 

@@ -65,3 +65,12 @@ def test_long_distinct_words(spark):
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b c")]) == {}
     assert run(spark, [(1, "a b c")], [])[1][:3] == (3, 0, 0)
+
+
+def test_repeated_rows_ids_and_clashing_columns(spark):
+    """Texts of one id are judged apart, equal rows alike; further columns named as the result's do no harm."""
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"x {item} y", 7, "a"), (1, "clean words here", 8, "b"), (2, item, 9, "c"), (2, item, 9, "c"), (None, item, 1, None)], "doc_id long, text string, n_hit int, key string")
+    rows = decontaminate(docs, spark.createDataFrame([("q1", item, 5), ("q1", item, 5), ("q2", item, 6)], "item_id string, text string, w int")).collect()
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in rows)
+    assert got == [(0, 11, 11, 2), (1, 3, 0, 0), (1, 13, 11, 2), (2, 11, 11, 2), (2, 11, 11, 2)]

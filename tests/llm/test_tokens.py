@@ -98,6 +98,48 @@ def test_packing_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, source string"), PATH).collect() == []
 
 
+def test_packing_by_mixture(spark):
+    """Windows hold the weights' proportions until a queue is dry, then those of the others; sources without a weight come last."""
+    rows = [(k, "th er in " * (5 + k % 40), [None, "a", "b", "c", "d"][k % 5]) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixture = {"a": 6.0, "b": 3.0, None: 1.0, "c": 0.0, "absent": 5.0}
+    pieces = packing.pack(df, PATH, length=512, mixture=mixture).collect()
+    size, source = {p.doc_id: p.doc_tokens for p in pieces}, {k: s for k, _, s in rows}
+    at, fill, left = dict.fromkeys(size, 0), {}, {}
+    for k, n in size.items():
+        left[source[k]] = left.get(source[k], 0) + n
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == at[p.doc_id]
+        at[p.doc_id] += p.length
+        fill.setdefault(p.sequence_id, []).append(p)
+    assert at == size and len(size) == len(rows) and sorted(fill) == list(range(-(-sum(size.values()) // 512)))
+    weights, mixed = {s: mixture.get(s, 0) for s in left}, 0
+    for s in range(len(fill)):
+        held, end = {}, 0
+        for p in sorted(fill[s], key=lambda p: p.offset):
+            assert p.offset == end
+            end += p.length
+            held[source[p.doc_id]] = held.get(source[p.doc_id], 0) + p.length
+        assert end == 512 or s == len(fill) - 1
+        live = {x: w for x, w in weights.items() if w and left[x]}
+        if live and all(left[x] >= 512 for x in live) and end == 512:
+            mixed += 1
+            for x, w in live.items():
+                # a window is longer than a round by up to a window over the epoch's rounds, ten at least here; one queue may send all of that
+                assert abs(held.get(x, 0) - 512 * w / sum(live.values())) <= 512 / 10 + 2 * len(live)
+            assert not held.keys() - live.keys()
+        for x, n in held.items():
+            left[x] -= n
+    assert mixed > 10 and set(left.values()) == {0}
+
+
+def test_packing_refuses_empty_mixtures(spark):
+    df = spark.createDataFrame([(1, "th", "a")], "doc_id long, text string, source string")
+    for mixture in ({}, {"a": 0.0}, {"a": -1.0, "b": 1.0}, {"a": float("inf")}):
+        with pytest.raises(ValueError):
+            packing.pack(df, PATH, mixture=mixture)
+
+
 def test_rounds_beyond_64_bits():
     small, large = packing.Rounds([700, 300], 100), packing.Rounds([700, 300], 100)
     large.kind, large.sizes = object, large.sizes.astype(object)

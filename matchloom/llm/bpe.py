@@ -14,6 +14,7 @@ import json
 import os
 import unicodedata
 from array import array
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,18 @@ MAX_WORDS = 50_000
 END_BYTE = b"\xff"
 #: Text bytes encoded in one numpy step.
 STEP_BYTES = 8 << 20
+
+
+class Room(NamedTuple):
+    """What a worker holds while it encodes: chunks in its table, text bytes of a numpy step, rows of an Arrow batch."""
+
+    chunks: int
+    step_bytes: int
+    rows: int
+
+
+#: For a job of its own, and for one whose executors carry the memory of other operators' stages.
+ALONE, SHARED = Room(MAX_CHUNKS, STEP_BYTES, 5_000), Room(350_000, 1 << 20, 1_000)
 #: White space as the tokenizer's pattern has it.
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
@@ -44,6 +57,9 @@ def byte_symbols() -> list[str]:
 class WordBPE:
     """A lower-casing, white-space-dropping BPE model with word ends, read from its tokenizer file."""
 
+    #: Chunks in the table, where not ``MAX_CHUNKS``.
+    most: int | None = None
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -273,8 +289,8 @@ class WordBPE:
             self.ids, self.counts = array("I"), array("I")
             self.id_at, self.count_at = array("q", [0]), array("q", [0])
             self.used = np.zeros(0, np.int64)
-        elif len(self.index) > MAX_CHUNKS:
-            keep = np.flatnonzero(self.used[: len(self.index)] > 1)[: MAX_CHUNKS // 2]
+        elif len(self.index) > (most := self.most or MAX_CHUNKS):
+            keep = np.flatnonzero(self.used[: len(self.index)] > 1)[: most // 2]
             names = list(self.index)
             self.index = {names[r]: k for k, r in enumerate(keep)}
             for data, at in (("ids", "id_at"), ("counts", "count_at")):
@@ -451,13 +467,13 @@ def model(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def steps(batch: pa.RecordBatch, column: str):
+def steps(batch: pa.RecordBatch, column: str, step_bytes: int = STEP_BYTES):
     """Cut a batch into runs of rows of bounded text size; null texts become empty."""
     texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.string()), "")
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(sizes):
         done = sizes[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(sizes, done + STEP_BYTES, "right")))
+        stop = max(at + 1, int(np.searchsorted(sizes, done + step_bytes, "right")))
         yield batch.slice(at, stop - at), pa.concat_arrays([texts.slice(at, stop - at)])
         at = stop

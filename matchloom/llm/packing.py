@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import TEXT_ROWS, broadcast_if_small, staged, text_batches, tidy
+from .common import broadcast_if_small, staged, text_batches, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def tokenize(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", end_id: int = 1) -> DataFrame:
+def tokenize(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", end_id: int = 1, room: bpe.Room = bpe.ALONE) -> DataFrame:
     """One row per document: ids (packed little-endian, 2 or 4 bytes each) with ``end_id`` appended,
     and the place of its first token among its task's tokens of the same source."""
 
@@ -45,10 +45,11 @@ def tokenize(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bpe.model(tokenizer)
+        table.most = room.chunks
         kind = "<u2" if max(table.vocab.values()) < 65536 else "<u4"
         task, sent = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for part, texts in bpe.steps(batch, "text"):
+            for part, texts in bpe.steps(batch, "text", room.step_bytes):
                 ids, counts = table.encode(texts)
                 stops = np.cumsum(counts)
                 full = np.insert(ids.astype(kind), stops, end_id)
@@ -64,22 +65,22 @@ def tokenize(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_c
                     ["doc_id", "source", "task", "first", "n", "ids"],
                 )
 
-    return text_batches(slim, 5 * TEXT_ROWS).mapInArrow(tidy(run, tokenizes=True), "doc_id long, source string, task int, first long, n long, ids binary")
+    return text_batches(slim, room.rows).mapInArrow(tidy(run, tokenizes=True), "doc_id long, source string, task int, first long, n long, ids binary")
 
 
-def pack(df: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", mixture: Mapping[str | None, float] | None = None) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", mixture: Mapping[str | None, float] | None = None, room: bpe.Room = bpe.ALONE) -> DataFrame:
     """Pack whole documents into sequences of ``length`` tokens; one row per piece.
 
     ``start`` is the piece's first id in its document, ``sequence_id`` and ``offset`` its
     place.  Sequence ids run from 0 without gaps.  ``mixture`` gives sources (None: the null
     source) their weights, of which at least one is above 0; sources of the table that it does
-    not name, or names with 0, follow when all others are dry.
+    not name, or names with 0, follow when all others are dry.  ``room`` bounds a worker's memory.
     """
     spark = df.sparkSession
     weights = [] if mixture is None else sorted(set(mixture.values()))
     if mixture is not None and not (weights and weights[0] >= 0 and 0 < weights[-1] < math.inf):
         raise ValueError("a mixture needs finite weights, none below 0 and one above")
-    tokens = staged(tokenize(df, tokenizer, id_column=id_column, text_column=text_column, source_column=source_column, end_id=end_id), "pack-tokens")
+    tokens = staged(tokenize(df, tokenizer, id_column=id_column, text_column=text_column, source_column=source_column, end_id=end_id, room=room), "pack-tokens")
     runs = staged(tokens.groupBy("source", "task").agg(F.sum("n").alias("n")), "pack-runs")  # one row for each task and source
     queues = staged(runs.groupBy("source").agg(F.sum("n").alias("total")), "pack-queues")
     # A queue's place is told by its total and its number among the queues of that total, so tasks hold one row for each total.

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontaminate, jaccard_join, language, packing, quality
+from matchloom.llm import bpe, decontaminate, jaccard_join, language, packing, quality
 from matchloom.llm.common import broadcast_if_small, staged, table, unstage
 from matchloom.llm.queries import tokenizer_path
 
@@ -79,7 +79,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, in sequences of 2,048 tokens; see :func:`matchloom.llm.packing.pack`."""
-    return packing.pack(docs, tokenizer_path(), length=2048)
+    return packing.pack(docs, tokenizer_path(), length=2048, room=bpe.SHARED)
 
 
 STAGES = [

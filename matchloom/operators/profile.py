@@ -9,8 +9,10 @@ from ..functions import scripts as S
 from ..functions import text as X
 
 
-def sampled(df: DataFrame, per_file: int = 3000, seed: int = 42) -> DataFrame:
-    """At most ``per_file`` rows of each ``file``, by hash rank; the rank limit prunes before the shuffle."""
+def sampled(df: DataFrame, per_file: int | None = 3000, seed: int = 42) -> DataFrame:
+    """At most ``per_file`` rows of each ``file``, by hash rank; the rank limit prunes before the shuffle.  None keeps all rows."""
+    if per_file is None:
+        return df
     order = Window.partitionBy("file").orderBy(F.xxhash64(F.col("entity_id"), F.lit(seed)), "entity_id")
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_file).drop("rank")
 
@@ -33,9 +35,9 @@ def language_counts(df: DataFrame, least: float = 0.6) -> DataFrame:
     return value_counts(rows, "lang")
 
 
-def dataset_report(df: DataFrame, per_file: int = 3000, seed: int = 42) -> DataFrame:
+def dataset_report(df: DataFrame, per_file: int | None = 3000, seed: int = 42) -> DataFrame:
     """Counts (kind, value, n) over the rows of a tree scan: all rows and files, then countries of all rows, and known
-    scripts of at most ``per_file`` sampled rows of each file."""
+    scripts of at most ``per_file`` sampled rows of each file (None: of all rows)."""
     total = df.agg(F.count("*").alias("n")).select(F.lit("records").alias("kind"), F.lit("").alias("value"), "n")
     files = df.groupBy("file").agg(F.count("*").alias("n")).select(F.lit("file").alias("kind"), F.col("file").alias("value"), "n")
     countries = value_counts(df.where(F.trim("country") != ""), "country").select(F.lit("country").alias("kind"), "value", "n")

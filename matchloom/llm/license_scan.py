@@ -11,8 +11,8 @@ confirmed if its odds against unknown reach ``least`` and the window holds at le
 five-word shingles of one of its templates (a shorter template: all its words in a row).
 
 On the rows everything is a DataFrame expression over the word array: n-grams find their numbers
-in a hashed table, scores are sums over them.  No text is shuffled.  Only paragraphs with one of
-the words that every template holds (``ANCHOR``) are taken apart.
+in a hashed table, scores are sums over them.  No text is shuffled.  Paragraphs are taken apart
+unless the model's weights rule out every family by the words that they lack (:func:`evidence`).
 
 Null and empty texts have no paragraphs and no licences.  Documents are told apart by id and
 text; equal rows share a result.  An empty table trains on the templates and fixed lists alone.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,8 +84,8 @@ TEMPLATES = {
     "Proprietary": ["all rights reserved no part of this work may be reproduced distributed or transmitted without the prior written permission of the copyright holder", "this software is proprietary and confidential unauthorized copying of this file via any medium is strictly prohibited"],
     "Unlicense": ["this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary under the unlicense"],
 }
-# Every template holds one of these.
-ANCHOR = r"(?i)licen[sc]e|copyright|redistribut|permission|public domain|proprietary"
+#: What a window must hold to be judged: nothing, every window is (see :func:`evidence` for what is decided without scores).
+ANCHOR = ""
 # Sentences that use the same words without giving a licence.
 ORDINARY = [
     "the driver showed a license to the officer and drove on", "the general public is invited to the meeting", "apache helicopters flew over the city", "a free copy of the software was sent to every person",
@@ -124,6 +125,7 @@ class Classifier:
     names: list[str]  # the n-grams
     weights: list[list[float]]  # [family][n-gram]
     bias: list[float]
+    frequent: tuple[str, ...] = ()  # words of the ordinary lines, most frequent first
 
     def margins(self, words: list[str]) -> np.ndarray:
         at = {g: i for i, g in enumerate(self.names)}
@@ -177,7 +179,9 @@ def fit(docs: DataFrame, *, text_column: str = "text", most: int = MAX_ORDINARY)
         return float(np.mean(np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z[np.arange(len(z)), y[held]]))
 
     heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
-    return Classifier(families, names, [[round(v, 6) for v in row] for row in (w.T / heat).tolist()], (b / heat).tolist())
+    seen_words = Counter(w for words in own for w in set(words))
+    frequent = tuple(sorted(seen_words, key=lambda w: (-seen_words[w], w)))
+    return Classifier(families, names, [[round(v, 6) for v in row] for row in (w.T / heat).tolist()], (b / heat).tolist(), frequent)
 
 
 def numbered(grams: Column, table: dict[str, list[int]]) -> Column:
@@ -197,15 +201,41 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def evidence(model: Classifier) -> str | None:
+    """A pattern for lower-cased text that every window matches for which the model prefers some family to unknown, or None.
+
+    A family must make up the bias of unknown.  Frequent, then short words are set aside while all n-grams of such words together can
+    do that for no family; then one of the other words is needed, so windows without any are unknown by the model itself.
+    """
+    weights, bias = np.array(model.weights), np.array(model.bias)
+    gain, slack = np.maximum(weights[:-1] - weights[-1], 0.0), bias[-1] - bias[:-1] - 1e-6
+    if not len(slack) or (slack <= 0).any():
+        return None
+    parts = [set(g.split(" ")) for g in model.names]
+    rank = {w: k for k, w in enumerate(model.frequent)}
+    needed = sorted(set().union(*parts), key=lambda w: (rank.get(w, len(rank)), len(w), w))
+    aside: set[str] = set()
+    for w in list(needed):
+        if all(gain[:, [i for i, p in enumerate(parts) if p <= aside | {w}]].sum(1) < slack):
+            aside.add(w)
+            needed.remove(w)
+    by_letter: dict[str, list[str]] = {}
+    for w in needed:
+        by_letter.setdefault(w[0], []).append(w[1:])
+    words = "|".join(f"{re.escape(a)}(?:{'|'.join(map(re.escape, rest))})" for a, rest in sorted(by_letter.items()))
+    return rf"(?<![a-z0-9+\-])(?:{words or '(?!)'})(?![a-z0-9+\-])"
+
+
 def scan(docs: DataFrame, model: Classifier, *, id_column: str = "doc_id", text_column: str = "text", least: float = 0.5) -> DataFrame:
     """One row per window and licence family: key, id, place (the paragraph's number), family, score, confirmed."""
-    text = F.col(text_column).cast("string")
-    slim = docs.select(F.col(id_column).alias("id"), text.alias("text")).where(F.col("text").rlike(ANCHOR))
+    text, needed = F.col(text_column).cast("string"), evidence(model)
+    may_hold = lambda c: F.lower(c).rlike(needed) if needed else F.lit(True)
+    slim = docs.select(F.col(id_column).alias("id"), text.alias("text")).where(may_hold(F.col("text")))
     key = F.concat_ws(":", F.col("id").cast("string"), F.xxhash64("text").cast("string")).alias("key")
-    rows = slim.select("id", key, F.posexplode(F.split("text", r"\r?\n[ \t\r\f]*\n")).alias("place", "p")).where(F.col("p").rlike(ANCHOR))
+    rows = slim.select("id", key, F.posexplode(F.split("text", r"\r?\n[ \t\r\f]*\n")).alias("place", "p")).where(may_hold(F.col("p")))
     rows = once(rows, "w", token_column(F.col("p"))).select("id", "key", "place", "w")
     starts = F.when(F.size("w") > 2 * LONGEST, F.sequence(F.lit(1), F.size("w") - LONGEST, F.lit(LONGEST))).otherwise(F.array(F.lit(1)))
-    rows = rows.select("id", "key", "place", F.explode(F.transform(starts, lambda i: F.slice("w", i, 2 * LONGEST))).alias("w")).where(F.array_join("w", " ").rlike(ANCHOR))
+    rows = rows.select("id", "key", "place", F.explode(F.transform(starts, lambda i: F.slice("w", i, 2 * LONGEST))).alias("w")).where(may_hold(F.array_join("w", " ")))
     rows = once(rows, "ids", F.array_distinct(numbered(F.array_distinct(F.concat("w", runs("w", 2))), {g: [i] for i, g in enumerate(model.names)})))
     weights, bias = constant(model.weights, "array<array<double>>"), constant(model.bias, "array<double>")
     last = len(model.families) - 1

@@ -300,3 +300,15 @@ def test_language_labels_against_plain_version(spark):
         bits = model.lengths(np.frombuffer(raw, np.uint8), np.array([len(raw)]))[0]
         assert r.lang_pred == model.names[int(bits.argmin())]
         assert r.lang_score == pytest.approx(1 / (1 + 2.0 ** (-abs(bits[0] - bits[1]) / np.sqrt(len(raw)))))
+
+
+def test_notices_without_the_usual_words(spark):
+    """Confirmed by their templates though no word of licence, copyright, permission and the like is left in them."""
+    model = license_scan.fit(spark.createDataFrame([], "doc_id long, text string"))
+    cut = " ".join(license_scan.TEMPLATES["MIT"][1].split()[1:])
+    free = "this is free and unencumbered software released into the"
+    rows = [(1, cut), (2, f"er sagte nichts\n\n{cut}\n\nthe end"), (3, f"{'word ' * 500}{cut}"), (4, "the driver of this car was not at the house"), (5, free)]
+    assert not any(re.search("(?i)licen[sc]e|copyright|redistribut|permission|public domain|proprietary", t) for _, t in rows)
+    got = {r.doc_id: (r.n_paragraphs, r.families, r.unconfirmed) for r in license_scan.document_licences(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {k: judge(model, t)[:3] for k, t in rows}
+    assert [got[k][1] for k in (1, 2, 3, 4)] == ["MIT", "MIT", "MIT", ""]

@@ -67,6 +67,62 @@ def test_word_table_survives_forgetting(library, monkeypatch):
         assert model.encode(pa.array([t]))[0].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_shared_beginnings_are_walked_once(library):
+    """A word of 1,500 letters and all its beginnings: the counts of walking each alone, in a fraction of its time."""
+    import time
+
+    rng = random.Random(3)
+    word = "".join(rng.choice(["the", "ing", "é", "que", "s", "er", "x", "ß"]) for _ in range(1500))[:1500]
+    words = [word[:k] for k in range(1, len(word) + 1)]
+    rng.shuffle(words)
+    model = bpe.WordBPE(PATH)
+    alone = {}
+    began = time.process_time()
+    for w in words:
+        alone[w] = model.solve(w)[1]
+    apart, began = time.process_time() - began, time.process_time()
+    model.start(True)
+    rows = model.rows_of(words)
+    assert time.process_time() - began < apart / 4
+    for w, r in zip(words, rows):
+        assert model.data[model.at[r] : model.at[r + 1]].tolist() == alone[w]
+    for k in rng.sample(range(1, len(word)), 40):
+        assert alone[word[:k]][-1] == len(library.encode(word[:k], add_special_tokens=False).ids)
+
+
+def test_prefix_table_survives_forgetting(library, monkeypatch):
+    """Few rows kept, words met before as chunks or within them, letters of two bytes at the fork of two words, repeated and odd texts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "MAX_CHUNKS", 15)
+    model = bpe.WordBPE(PATH)
+    own = ["thé thè thés, thé! the then then. Then's 'S 's", "", "é è ê", "a<|endoftext|>the the<|", "naïve naïf naîf\u0301 naive\u0301", "ÀÈ àè ÷× a÷b", "aaa aaaa aaaaa aaaaaaaaaaa !!!! !!!!!!"]
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for t in [x or "" for x in [*own, *texts(10), *own]]:
+        t = t[:300]
+        counts, chars = model.prefix_counts(pa.array([t, t]))
+        want = [count(t[:k]) for k in range(1, len(t) + 1)]
+        assert chars.tolist() == [len(t)] * 2 and counts.tolist() == want * 2, t
+
+
+def test_pairs_by_merges_in_reverse():
+    """Whether two tokens stand side by side, against merging their characters; equal letters and split tokens too."""
+    model, rng = bpe.WordBPE(PATH), random.Random(4)
+    tokens = sorted(model.vocab)
+    opens = [t for t in tokens if not t.endswith(model.end)]
+    one = [t for t in tokens if len(set(t.removesuffix(model.end))) == 1]
+    pairs = [(a, b) for a in one for b in one if a[0] == b[0] and not a.endswith(model.end)]
+    pairs += [(rng.choice(opens), rng.choice(tokens)) for _ in range(5000)]
+    for t in rng.sample(tokens, 5000):
+        k = rng.randrange(1, max(2, len(t.removesuffix(model.end))))
+        pairs += [(t[:k], t[k:])] * (t[:k] in model.vocab and t[k:] in model.vocab and t[k:] != model.end)
+    expected = [model.merged(model.atoms(a) + model.atoms(b)) == [a, b] for a, b in pairs]
+    assert [model.stands(a, b) for a, b in pairs] == expected and 0 < sum(expected) < len(pairs)
+    model.made = None  # as for a vocabulary whose merges have another order
+    model.follow = {"": ({}, {})}
+    assert [model.stands(a, b) for a, b in pairs] == expected
+
+
 @pytest.mark.parametrize("sources", [1, 3, 40])
 def test_packing(spark, library, sources):
     rows = [(k, t, None if k % 11 == 0 else f"s{min(k % sources, k % 7 % sources)}") for k, t in enumerate(texts(120))]

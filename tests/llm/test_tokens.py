@@ -222,3 +222,30 @@ def test_packing_many_sources(spark):
         for k in range(1500):  # in all windows so far, but for the tokens of one round
             due = 8192 * size[k] / total
             assert abs(sum(sent.get((f"s{k}", v), 0) for v in range(w + 1)) - due * (w + 1)) <= due + 2
+
+
+def test_new_words_are_proposed_in_one_call(library):
+    """Ids of new chunks against the library's, with odd chunks and unproved proposals among them; a pair of neighbours is looked up once, however many words have it."""
+    rng = random.Random(8)
+    model = bpe.WordBPE(PATH)
+    parts = ["th", "er", "in", "que", "ché", "ung", "ñ", "A", "Z9", ".", ",", "'s", "ß", "-", "%%%"]
+    make = lambda n: list({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))): None for _ in range(n)})
+    looked, compatible = [], model.compatible
+    model.compatible = lambda *pair: looked.append(pair) or compatible(*pair)
+    model.start(False)
+
+    def check(chunks):
+        rows = model.rows_of(chunks)
+        for c, r in zip(chunks, rows):
+            assert model.data[model.at[r] : model.at[r + 1]].tolist() == library.encode(c, add_special_tokens=False).ids, c
+
+    words = make(3000)
+    check(words)
+    assert len(looked) == len(set(looked)) > 100
+    odd = dict.fromkeys(["", "\x7fab", "\x01\x02", *(c for t in ODD if t for c in bpe.SPACE.split(t))])
+    check([*words[:50], *odd, "thinque", "then'sther"])
+    for t in ("th", "que", "er" + model.end):
+        model.id_of_rank[model.id_of_rank == model.vocab[t]] = -1  # as if never proposed
+    more = make(3000)
+    check([*more[:900], "<|endoftext|>the", *more[900:], "日本", "ther"])
+    check(["the" + w for w in words[:5]])

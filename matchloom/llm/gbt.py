@@ -6,7 +6,7 @@ either by vectorised numpy traversal or as one SQL expression of nested CASEs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column
@@ -41,6 +41,14 @@ class Trees:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margin(x), -60.0, 60.0)))
 
+    def midway(self, x: np.ndarray) -> Trees:
+        """The same trees over the rows ``x`` they learned from, each threshold moved midway between the values beside it, so that a feature's rounding does not change a row's side."""
+        threshold = self.threshold.copy()
+        for node in np.flatnonzero(self.feature >= 0):
+            values, at = x[:, self.feature[node]], self.threshold[node]
+            threshold[node] = (values[values <= at].max() + values[values > at].min()) / 2
+        return replace(self, threshold=threshold)
+
     def column(self, features: list[Column]) -> Column:
         """The same score as an expression over feature columns."""
 

@@ -76,7 +76,8 @@ def lexical(df: DataFrame, suffixes: dict[str, list[float]]) -> DataFrame:
     # Shannon entropy of the characters: each distinct one is counted by taking it out.
     share = lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / n
     letters = F.filter(F.array_distinct(F.split(url, "")), lambda c: c != "")
-    entropy = F.aggregate(F.transform(letters, share), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    # The sum's last bits depend on the order of the characters; rounded, urls of the same counts have the same entropy.
+    entropy = F.round(F.aggregate(F.transform(letters, share), F.lit(0.0), lambda a, p: a - p * F.log2(p)), 9)
     known = found(hashed(suffixes, "array<double>", SUFFIX_BUCKETS), suffix, SUFFIX_BUCKETS) if suffixes else F.lit(None).cast("array<double>")
     values = {
         "length": F.length(url), "host_length": F.length(host), "path_length": F.length(path), "depth": count(path, "/"), "labels": F.size(labels),
@@ -113,7 +114,7 @@ def fit(judged: DataFrame, rules: list[Rule], most: int = MAX_LABELLED) -> UrlMo
         blocked, n = sums[r._host.rpartition(".")[2]]
         values = {**{k: float(r[f"_f_{k}"]) for k in plain}, "suffix_rate": smoothed(blocked - r._y, n - 1), "suffix_count": math.log1p(n - 1)}
         x[i] = [values[k] for k in FEATURES]
-    return UrlModel(train(x, np.array([r._y for r in got]), rounds=24, depth=3, rate=0.3), {s: [smoothed(b, n), math.log1p(n)] for s, (b, n) in sums.items()})
+    return UrlModel(train(x, np.array([r._y for r in got]), rounds=24, depth=3, rate=0.3).midway(x), {s: [smoothed(b, n), math.log1p(n)] for s, (b, n) in sums.items()})
 
 
 def smoothed(blocked: float, n: float) -> float:
